@@ -118,7 +118,10 @@ def spec_with_actions(actions: dict[tuple[str, str], str]) -> Spec:
 
 
 def load(spark: SparkSession, sf_dir: str, *names: str) -> Frames:
-    sources = {f"main.{n}": Source(f"{sf_dir}/{n}.parquet") for n in (names or NAMES)}
+    spec = star_spec()
+    sources = {
+        f"main.{n}": Source(f"{sf_dir}/{n}.parquet", schema=spec.tables[f"main.{n}"].schema) for n in (names or NAMES)
+    }
     return read_frames(spark, sources)
 
 
