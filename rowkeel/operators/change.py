@@ -32,7 +32,8 @@ def absent_rows(
     target: DataFrame, source: DataFrame, key: list[str], defaults: dict[str, object | Column] | None = None
 ) -> DataFrame:
     """The rows that insert-if-absent adds, shaped like the target; append these to a stored table."""
-    fresh = _one_per_key(source.join(target.select(*key), key, "left_anti").select(*source.columns), key)
+    # equal keys collapse before the join, so a frequent key does not skew it
+    fresh = _one_per_key(source, key).join(target.select(*key), key, "left_anti").select(*source.columns)
     kinds = {f.name: f.dataType for f in target.schema.fields}
     given = defaults or {}
     cols = []
@@ -136,21 +137,31 @@ def classify_increment(batch: DataFrame, ledger: DataFrame, key: list[str], cont
 
 @dataclass(frozen=True)
 class IncrementResult:
-    """What applying a batch would append: ``rows`` to the table, ``ledger`` rows to the ledger."""
+    """What applying a batch appends: ``rows`` to the table and ``ledger`` rows to the ledger.
+
+    ``blocked`` means that records are pending but changes were not allowed; both are empty then.
+    """
 
     rows: DataFrame
     ledger: DataFrame
     changed: DataFrame
+    blocked: bool = False
 
 
-def apply_increment(batch: DataFrame, ledger: DataFrame, key: list[str], content: str) -> IncrementResult:
+def apply_increment(
+    batch: DataFrame, ledger: DataFrame, key: list[str], content: str, allow: bool = True
+) -> IncrementResult:
     """Only NEW records are applied; CHANGED ones are reported, never redone."""
     states = classify_increment(batch, ledger, key, content)
     fresh = batch.join(ledger.select(*key), key, "left_anti").select(*batch.columns)
+    blocked = not allow and not fresh.isEmpty()
+    if blocked:
+        fresh = fresh.where(F.lit(False))
     return IncrementResult(
         rows=fresh,
         ledger=fresh.select(*key, content_key(content).alias("checksum")),
         changed=states.where(F.col("state") == "CHANGED"),
+        blocked=blocked,
     )
 
 

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowkeel.sources.staging import stage
 
+# tasks carry these small helpers along, so executors need no installed package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _PAIRS = "query_id bigint, neighbor_id bigint, similarity double"
 _QUERY_CHUNK = 1024
 _ROUND = 6

@@ -35,65 +35,115 @@ def trigram_pairs(df: DataFrame, text: str, threshold: float = 0.3, block: int =
     * a gram that still has more than ``block`` names is split into blocks, and each pair of blocks
       meets in its own join key; only pairs that pass the threshold leave the join.
     """
+    names = _names(df, text)
+    rows = _prefixes(names, _frequent_grams([names]), threshold)
+    parts = _blocks(rows, block, "_parts")
+    rows = rows.join(parts, "gram", "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    rows = rows.withColumn("_own", F.pmod(F.xxhash64("name"), F.col("_parts")).cast("int"))
+    # block i meets block j once, for i <= j
+    a = _side(rows, "a", F.col("_own"), F.explode(F.sequence("_own", F.col("_parts") - 1)))
+    b = _side(rows, "b", F.explode(F.sequence(F.lit(0), F.col("_own"))), F.col("_own"))
+    once = (F.col("_i") < F.col("_j")) | (F.col("name_a") < F.col("name_b"))
+    pairs = _matched(a, b, threshold, once)
+    swap = F.col("name_a") > F.col("name_b")
+
+    def placed(x: str, y: str) -> Column:
+        return F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x)
+
+    return pairs.select(
+        placed("name_a", "name_b"),
+        placed("name_b", "name_a"),
+        "similarity",
+        placed("copies_a", "copies_b"),
+        placed("copies_b", "copies_a"),
+    )
+
+
+def trigram_lookup(
+    batch: DataFrame, existing: DataFrame, text: str, threshold: float = 0.3, block: int = 2048
+) -> DataFrame:
+    """For each name of a batch the existing names that look like it, itself included.
+
+    Returns ``(name, match, similarity, copies)``; ``copies`` counts the existing rows of the match.
+    Exact, by the same means as :func:`trigram_pairs`.
+    """
+    left, right = _names(batch, text), _names(existing, text)
+    frequent = _frequent_grams([left, right])
+    lrows, rrows = _prefixes(left, frequent, threshold), _prefixes(right, frequent, threshold)
+    parts = _blocks(lrows, block, "_lp").join(_blocks(rrows, block, "_rp"), "gram", "full_outer")
+
+    def split(rows: DataFrame, own: str) -> DataFrame:
+        out = rows.join(parts, "gram", "left").withColumns(
+            {"_lp": F.coalesce("_lp", F.lit(1)), "_rp": F.coalesce("_rp", F.lit(1))}
+        )
+        return out.withColumn("_own", F.pmod(F.xxhash64("name"), F.col(own)).cast("int"))
+
+    a = _side(split(lrows, "_lp"), "a", F.col("_own"), F.explode(F.sequence(F.lit(0), F.col("_rp") - 1)))
+    b = _side(split(rrows, "_rp"), "b", F.explode(F.sequence(F.lit(0), F.col("_lp") - 1)), F.col("_own"))
+    pairs = _matched(a, b, threshold, F.lit(True))
+    return pairs.select(
+        F.col("name_a").alias("name"), F.col("name_b").alias("match"), "similarity", F.col("copies_b").alias("copies")
+    )
+
+
+def _names(df: DataFrame, text: str) -> DataFrame:
+    """Distinct names with their row count and grams; names without a letter or digit have none."""
     names = (
         df.where(F.col(text).isNotNull())
         .groupBy(F.col(text).alias("name"))
         .agg(F.count(F.lit(1)).alias("copies"))
         .withColumn("grams", trigrams("name"))
-        .where(F.size("grams") > 0)
     )
-    names = stage(names, "names")
-    frequent = _frequent_grams(names)
-    if frequent:
-        hot = F.array(*[F.lit(g) for g in frequent])
-        place = F.transform("grams", lambda g: F.struct(F.array_position(hot, g).alias("h"), F.xxhash64(g).alias("x"), g.alias("g")))
-    else:
-        place = F.transform("grams", lambda g: F.struct(F.lit(0).alias("h"), F.xxhash64(g).alias("x"), g.alias("g")))
-    ordered = names.select("name", "copies", F.transform(F.sort_array(place), lambda s: s.g).alias("grams"))
+    return stage(names.where(F.size("grams") > 0), "names")
+
+
+def _frequent_grams(sides: list[DataFrame]) -> list[str]:
+    """Frequent grams, rarest first; at most ``MAX_HOT_GRAMS`` by the share that makes them frequent."""
+    grams = sides[0].select("grams")
+    for other in sides[1:]:
+        grams = grams.unionByName(other.select("grams"))
+    total = grams.agg(F.sum(F.size("grams")).alias("n")).first()["n"] or 0
+    if total < MAX_HOT_GRAMS:
+        return []
+    counts = grams.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    rows = counts.where(F.col("n") * MAX_HOT_GRAMS > total).collect()
+    return [r["g"] for r in sorted(rows, key=lambda r: (r["n"], r["g"]))]
 
+
+def _prefixes(names: DataFrame, frequent: list[str], threshold: float) -> DataFrame:
+    """One row per prefix gram, carrying the whole gram set in the common order."""
+    hot = F.array(*[F.lit(g) for g in frequent]) if frequent else F.array().cast("array<string>")
+    place = F.transform(
+        "grams", lambda g: F.struct(F.array_position(hot, g).alias("h"), F.xxhash64(g).alias("x"), g.alias("g"))
+    )
+    ordered = names.select("name", "copies", F.transform(F.sort_array(place), lambda s: s.g).alias("grams"))
     n = F.size("grams")
     # the tolerance keeps a product that should be whole from being rounded up
     keep = n - F.ceil(n * F.lit(threshold) - 1e-9).cast("int") + 1
-    rows = ordered.select("name", "copies", "grams", F.explode(F.slice("grams", F.lit(1), keep)).alias("gram"))
+    return ordered.select("name", "copies", "grams", F.explode(F.slice("grams", F.lit(1), keep)).alias("gram"))
 
+
+def _blocks(rows: DataFrame, block: int, name: str) -> DataFrame:
+    """Grams with more than ``block`` rows and their number of blocks; at most rows / block of them."""
     crowded = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block)
-    crowded = stage(crowded.select("gram", F.ceil(F.col("_n") / block).cast("int").alias("_blocks")), "crowded-grams")
-    rows = rows.join(crowded, "gram", "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
-    rows = rows.withColumn("_own", F.pmod(F.xxhash64("name"), F.col("_blocks")).cast("int"))
-
-    a = rows.select("gram", F.col("_own").alias("_i"), F.explode(F.sequence("_own", F.col("_blocks") - 1)).alias("_j"),
-                    F.col("name").alias("na"), F.col("copies").alias("ca"), F.col("grams").alias("ga"))
-    b = rows.select("gram", F.explode(F.sequence(F.lit(0), F.col("_own"))).alias("_i"), F.col("_own").alias("_j"),
-                    F.col("name").alias("nb"), F.col("copies").alias("cb"), F.col("grams").alias("gb"))
-    sa, sb = F.size("ga"), F.size("gb")
-    fits = (F.least(sa, sb) >= F.greatest(sa, sb) * threshold - 1e-9) & (
-        (F.col("_i") < F.col("_j")) | (F.col("na") < F.col("nb"))
-    )
-    common = F.array_intersect("ga", "gb")
+    return stage(crowded.select("gram", F.ceil(F.col("_n") / block).cast("int").alias(name)), "crowded-grams")
+
+
+def _side(rows: DataFrame, side: str, i: Column, j: Column) -> DataFrame:
+    named = [F.col(c).alias(f"{c}_{side}") for c in ("name", "copies", "grams")]
+    return rows.select("gram", i.alias("_i"), j.alias("_j"), *named)
+
+
+def _matched(a: DataFrame, b: DataFrame, threshold: float, allowed: Column) -> DataFrame:
+    sa, sb = F.size("grams_a"), F.size("grams_b")
+    fits = F.least(sa, sb) >= F.greatest(sa, sb) * threshold - 1e-9
     shared = F.size("common")
-    pairs = (
+    return (
         a.join(b, ["gram", "_i", "_j"])
-        .where(fits)
-        .withColumn("common", common)
+        .where(allowed & fits)
+        .withColumn("common", F.array_intersect("grams_a", "grams_b"))
         .where(F.get("common", F.lit(0)) == F.col("gram"))
         .withColumn("ratio", shared / (sa + sb - shared))
         .where(F.col("ratio") >= threshold)
+        .withColumn("similarity", F.round("ratio", 6))
     )
-    first = F.col("na") < F.col("nb")
-    return pairs.select(
-        F.when(first, F.col("na")).otherwise(F.col("nb")).alias("name_a"),
-        F.when(first, F.col("nb")).otherwise(F.col("na")).alias("name_b"),
-        F.round("ratio", 6).alias("similarity"),
-        F.when(first, F.col("ca")).otherwise(F.col("cb")).alias("copies_a"),
-        F.when(first, F.col("cb")).otherwise(F.col("ca")).alias("copies_b"),
-    )
-
-
-def _frequent_grams(names: DataFrame) -> list[str]:
-    """Frequent grams, rarest first; at most ``MAX_HOT_GRAMS`` by the share that makes them frequent."""
-    total = names.agg(F.sum(F.size("grams")).alias("n")).first()["n"] or 0
-    if total < MAX_HOT_GRAMS:
-        return []
-    counts = names.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    rows = counts.where(F.col("n") * MAX_HOT_GRAMS > total).collect()
-    return [r["g"] for r in sorted(rows, key=lambda r: (r["n"], r["g"]))]

@@ -154,6 +154,22 @@ FROM c JOIN s sa ON sa.name = name_a JOIN s sb ON sb.name = name_b
 JOIN n na ON na.name = name_a JOIN n nb ON nb.name = name_b
 WHERE shared / (sa.size + sb.size - shared) >= 0.3"""
 
+_TRIGRAM_LOOKUP = r"""
+WITH b AS (SELECT DISTINCT p_name || ' ' || lower(p_type) AS name FROM part),
+e AS (SELECT p_name AS name, count(*) AS copies FROM part GROUP BY 1),
+n AS (SELECT name FROM b UNION SELECT name FROM e),
+w AS (SELECT name, unnest(regexp_extract_all(lower(name), '[a-z0-9]+')) AS word FROM n),
+p AS (SELECT name, '  ' || word || ' ' AS padded FROM w),
+g AS (SELECT DISTINCT name, substr(padded, i, 3) AS gram FROM
+        (SELECT name, padded, unnest(range(1, length(padded) - 1)) AS i FROM p)),
+s AS (SELECT name, count(*) AS size FROM g GROUP BY 1),
+gb AS (SELECT * FROM g WHERE name IN (SELECT name FROM b)),
+ge AS (SELECT * FROM g WHERE name IN (SELECT name FROM e)),
+c AS (SELECT gb.name AS name, ge.name AS match, count(*) AS shared FROM gb JOIN ge ON gb.gram = ge.gram GROUP BY 1, 2)
+SELECT c.name, c.match, round(shared / (sb.size + se.size - shared), 6) AS similarity, e.copies
+FROM c JOIN s sb ON sb.name = c.name JOIN s se ON se.name = c.match JOIN e ON e.name = c.match
+WHERE shared / (sb.size + se.size - shared) >= 0.5"""
+
 _CUST3 = "(SELECT c_custkey FROM customer WHERE c_nationkey = 3)"
 _ORD3 = f"(SELECT o_orderkey FROM orders WHERE o_custkey IN {_CUST3})"
 
@@ -414,6 +430,7 @@ def oracle() -> dict[str, str]:
         "asof_resolve": _ASOF,
         "asof_resolve_split": _ASOF,
         "trigram_pairs": _TRIGRAMS,
+        "trigram_lookup": _TRIGRAM_LOOKUP,
         "knn_exact": _KNN,
         "knn_cells": _KNN,
         "restore_report": _restore_report(),

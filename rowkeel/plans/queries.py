@@ -664,6 +664,14 @@ def trigram_pairs(spark, sf):
     return similar.trigram_pairs(star.table(spark, sf, "part"), "p_name", 0.3)
 
 
+@query
+def trigram_lookup(spark, sf):
+    """Existing part names that a batch of longer names resembles."""
+    part = star.table(spark, sf, "part")
+    batch = part.select(F.concat_ws(" ", "p_name", F.lower("p_type")).alias("p_name"))
+    return similar.trigram_lookup(batch, part.select("p_name"), "p_name", 0.5)
+
+
 @query
 def knn_exact(spark, sf):
     """The five nearest vectors of every vector."""
