@@ -285,7 +285,7 @@ def knn_lsh(
     def unit(df: DataFrame) -> DataFrame:
         v = F.col("vec").cast("array<double>")
         norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
-        return df.withColumn("features", array_to_vector(F.transform(v, lambda x: x / norm)))
+        return df.withColumn("features", array_to_vector(F.transform(v, lambda x: F.coalesce(F.try_divide(x, norm), F.lit(0.0)))))
 
     q, c = unit(_prepared(queries, id_col, vec_col)), unit(_prepared(corpus, id_col, vec_col))
     lsh = BucketedRandomProjectionLSH(

@@ -197,7 +197,7 @@ def _restore_report() -> str:
         "SELECT 'orphans', 'lineitem(l_partkey)->part', count(*) FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey "
         "JOIN part p ON p.p_partkey = l.l_partkey WHERE o_orderstatus <> 'F' AND p_size = 7",
     ]
-    return "SELECT kind, name, CAST(rows AS BIGINT) AS rows FROM (" + " UNION ALL ".join(parts) + ") t"
+    return "SELECT kind, name, CAST(rows AS BIGINT) AS rows FROM (" + " UNION ALL ".join(parts) + ") t WHERE kind <> 'orphans' OR rows > 0"
 
 
 def oracle() -> dict[str, str]:
@@ -368,17 +368,19 @@ def oracle() -> dict[str, str]:
             WITH {_DOCS_AFTER.strip()}
             SELECT source, doc_id, sha256({_NEWLINES}) AS checksum FROM docs_after WHERE doc_id % 2 <> 0""",
         "cascade_delete_counts": f"""
-            SELECT 'customer' AS table_name, 'deleted' AS action, count(*) AS rows FROM customer WHERE c_nationkey = 3
-            UNION ALL SELECT 'orders', 'deleted', count(*) FROM orders WHERE o_custkey IN {_CUST3}
-            UNION ALL SELECT 'lineitem', 'deleted', count(*) FROM lineitem WHERE l_orderkey IN {_ORD3}""",
+            SELECT * FROM (
+              SELECT 'customer' AS table_name, 'deleted' AS action, count(*) AS rows FROM customer WHERE c_nationkey = 3
+              UNION ALL SELECT 'orders', 'deleted', count(*) FROM orders WHERE o_custkey IN {_CUST3}
+              UNION ALL SELECT 'lineitem', 'deleted', count(*) FROM lineitem WHERE l_orderkey IN {_ORD3}) t WHERE rows > 0""",
         "cascade_delete_survivors": f"""
             SELECT l_linenumber, l_returnflag, count(*) AS rows FROM lineitem WHERE l_orderkey NOT IN {_ORD3} GROUP BY 1, 2""",
         "set_null_rows": f"""
             SELECT o_orderkey, CASE WHEN o_custkey IN {_CUST3} THEN NULL ELSE o_custkey END AS o_custkey FROM orders""",
         "set_null_counts": f"""
-            SELECT 'customer' AS table_name, 'deleted' AS action, count(*) AS rows FROM customer WHERE c_nationkey = 3
-            UNION ALL SELECT 'orders', 'nulled', count(*) FROM orders WHERE o_custkey IN {_CUST3}
-            UNION ALL SELECT 'events', 'deleted', count(*) FROM events WHERE user_id IN {_CUST3}""",
+            SELECT * FROM (
+              SELECT 'customer' AS table_name, 'deleted' AS action, count(*) AS rows FROM customer WHERE c_nationkey = 3
+              UNION ALL SELECT 'orders', 'nulled', count(*) FROM orders WHERE o_custkey IN {_CUST3}
+              UNION ALL SELECT 'events', 'deleted', count(*) FROM events WHERE user_id IN {_CUST3}) t WHERE rows > 0""",
         "restrict_report": """
             SELECT * FROM (
               SELECT 'customer' AS table_name, 'RESTRICT' AS action, count(*) AS rows FROM customer WHERE c_nationkey IN (3, 5)
@@ -394,7 +396,7 @@ def oracle() -> dict[str, str]:
             WITH RECURSIVE t(k) AS (
               SELECT p_partkey FROM part WHERE p_partkey = 1
               UNION SELECT p_partkey FROM part JOIN t ON p_partkey // 10 = t.k AND p_partkey >= 10)
-            SELECT 'part' AS table_name, 'deleted' AS action, count(*) AS rows FROM t""",
+            SELECT 'part' AS table_name, 'deleted' AS action, count(*) AS rows FROM t HAVING count(*) > 0""",
         "snapshot_diff": f"""
             WITH {_HEADERS.strip()}
             SELECT * FROM (
