@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowkeel.operators.change import assign_ids
 from rowkeel.sources.staging import stage
-
-MAX_HOT_GRAMS = 256
+from rowkeel.sources.tables import union_all
 
 
 def trigrams(text: Column | str) -> Column:
@@ -30,13 +30,12 @@ def trigram_pairs(df: DataFrame, text: str, threshold: float = 0.3, block: int =
 
     * in one order of all grams, two similar names share their first common gram within
       their prefixes, so only prefixes are joined, and a pair is emitted only at that gram;
-    * the order puts the most frequent grams last, so they rarely reach a prefix; a gram is
-      called frequent above 1/256 of all gram occurrences, so there are at most 256;
+    * the order puts the most frequent grams last, so they rarely reach a prefix;
     * a gram that still has more than ``block`` names is split into blocks, and each pair of blocks
       meets in its own join key; only pairs that pass the threshold leave the join.
     """
     names = _names(df, text)
-    rows = _prefixes(names, _frequent_grams([names]), threshold)
+    rows = _prefixes(_ordered(names, _ranks([names])), threshold)
     parts = _blocks(rows, block, "_parts")
     rows = rows.join(parts, "gram", "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
     rows = rows.withColumn("_own", F.pmod(F.xxhash64("name"), F.col("_parts")).cast("int"))
@@ -68,8 +67,9 @@ def trigram_lookup(
     Exact, by the same means as :func:`trigram_pairs`.
     """
     left, right = _names(batch, text), _names(existing, text)
-    frequent = _frequent_grams([left, right])
-    lrows, rrows = _prefixes(left, frequent, threshold), _prefixes(right, frequent, threshold)
+    ranks = _ranks([left, right])
+    lrows = _prefixes(_ordered(left, ranks), threshold)
+    rrows = _prefixes(_ordered(right, ranks), threshold)
     parts = _blocks(lrows, block, "_lp").join(_blocks(rrows, block, "_rp"), "gram", "full_outer")
 
     def split(rows: DataFrame, own: str) -> DataFrame:
@@ -97,30 +97,26 @@ def _names(df: DataFrame, text: str) -> DataFrame:
     return stage(names.where(F.size("grams") > 0), "names")
 
 
-def _frequent_grams(sides: list[DataFrame]) -> list[str]:
-    """Frequent grams, rarest first; at most ``MAX_HOT_GRAMS`` by the share that makes them frequent."""
-    grams = sides[0].select("grams")
-    for other in sides[1:]:
-        grams = grams.unionByName(other.select("grams"))
-    total = grams.agg(F.sum(F.size("grams")).alias("n")).first()["n"] or 0
-    if total < MAX_HOT_GRAMS:
-        return []
-    counts = grams.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    rows = counts.where(F.col("n") * MAX_HOT_GRAMS > total).collect()
-    return [r["g"] for r in sorted(rows, key=lambda r: (r["n"], r["g"]))]
-
-
-def _prefixes(names: DataFrame, frequent: list[str], threshold: float) -> DataFrame:
-    """One row per prefix gram, carrying the whole gram set in the common order."""
-    hot = F.array(*[F.lit(g) for g in frequent]) if frequent else F.array().cast("array<string>")
-    place = F.transform(
-        "grams", lambda g: F.struct(F.array_position(hot, g).alias("h"), F.xxhash64(g).alias("x"), g.alias("g"))
-    )
-    ordered = names.select("name", "copies", F.transform(F.sort_array(place), lambda s: s.g).alias("grams"))
+def _ranks(sides: list[DataFrame]) -> DataFrame:
+    """``(gram, rank)``, rarest gram first; one row per distinct gram."""
+    grams = union_all([side.select(F.explode("grams").alias("gram")) for side in sides])
+    counts = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    return assign_ids(counts, "rank", 1, ["n", "gram"]).select("gram", "rank")
+
+
+def _ordered(names: DataFrame, ranks: DataFrame) -> DataFrame:
+    """Gram sets as ascending ranks, so that numbers are compared in place of texts."""
+    ranked = names.select("name", "copies", F.explode("grams").alias("gram")).join(ranks, "gram")
+    sets = ranked.groupBy("name").agg(F.first("copies").alias("copies"), F.collect_list("rank").alias("grams"))
+    return stage(sets.select("name", "copies", F.sort_array("grams").alias("grams")), "ranked-names")
+
+
+def _prefixes(ordered: DataFrame, threshold: float) -> DataFrame:
+    """One row per prefix gram with its place, carrying the whole gram set."""
     n = F.size("grams")
     # the tolerance keeps a product that should be whole from being rounded up
     keep = n - F.ceil(n * F.lit(threshold) - 1e-9).cast("int") + 1
-    return ordered.select("name", "copies", "grams", F.explode(F.slice("grams", F.lit(1), keep)).alias("gram"))
+    return ordered.select("name", "copies", "grams", F.posexplode(F.slice("grams", F.lit(1), keep)).alias("place", "gram"))
 
 
 def _blocks(rows: DataFrame, block: int, name: str) -> DataFrame:
@@ -130,20 +126,31 @@ def _blocks(rows: DataFrame, block: int, name: str) -> DataFrame:
 
 
 def _side(rows: DataFrame, side: str, i: Column, j: Column) -> DataFrame:
-    named = [F.col(c).alias(f"{c}_{side}") for c in ("name", "copies", "grams")]
+    named = [F.col(c).alias(f"{c}_{side}") for c in ("name", "copies", "grams", "place")]
     return rows.select("gram", i.alias("_i"), j.alias("_j"), *named)
 
 
 def _matched(a: DataFrame, b: DataFrame, threshold: float, allowed: Column) -> DataFrame:
+    """Pairs meeting at their first common gram with enough grams in common.
+
+    Sizes and places rule out most pairs before any set is intersected: from its first common gram on,
+    a pair can share no more than what is left of the shorter rest. The intersection is a generator,
+    so the optimizer computes it once per pair.
+    """
     sa, sb = F.size("grams_a"), F.size("grams_b")
-    fits = F.least(sa, sb) >= F.greatest(sa, sb) * threshold - 1e-9
-    shared = F.size("common")
-    return (
-        a.join(b, ["gram", "_i", "_j"])
-        .where(allowed & fits)
-        .withColumn("common", F.array_intersect("grams_a", "grams_b"))
-        .where(F.get("common", F.lit(0)) == F.col("gram"))
-        .withColumn("ratio", shared / (sa + sb - shared))
-        .where(F.col("ratio") >= threshold)
-        .withColumn("similarity", F.round("ratio", 6))
+    needed = F.lit(threshold / (1 + threshold)) * (sa + sb) - 1e-9
+    fits = (F.least(sa, sb) >= F.greatest(sa, sb) * threshold - 1e-9) & (
+        F.least(sa - F.col("place_a"), sb - F.col("place_b")) >= needed
+    )
+    met = a.join(b, ["gram", "_i", "_j"]).where(allowed & fits)
+    kept = ["gram", "name_a", "name_b", "copies_a", "copies_b", (sa + sb).alias("sizes")]
+    common = met.select(*kept, F.explode(F.array(F.array_intersect("grams_a", "grams_b"))).alias("common"))
+    shared = common.select(
+        "name_a",
+        "name_b",
+        "copies_a",
+        "copies_b",
+        (F.get("common", F.lit(0)) == F.col("gram")).alias("first"),
+        (F.size("common") / (F.col("sizes") - F.size("common"))).alias("ratio"),
     )
+    return shared.where(F.col("first") & (F.col("ratio") >= threshold)).withColumn("similarity", F.round("ratio", 6))
