@@ -15,6 +15,7 @@ from rowkeel.spec import ForeignKey, Frames, Spec
 _INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _PARENT_ROW = -1
 _SLOTS = 8
+_KEYS_SCHEMA = "table_name string, key_columns string, key_where string, bad_keys bigint, bad_rows bigint"
 _AUDIT_SCHEMA = "child string, child_columns string, parent string, orphan_rows bigint"
 
 
@@ -140,33 +141,55 @@ def audit_unique(df: DataFrame, key: list[str], where: str | None = None, primar
 
 
 def audit_keys(frames: Frames, spec: Spec, loaded: Iterable[str] | None = None) -> DataFrame:
-    """All primary and unique keys at once: ``(table_name, key_columns, key_where, bad_keys, bad_rows)``."""
+    """All primary and unique keys at once: ``(table_name, key_columns, key_where, bad_keys, bad_rows)``.
+
+    Built like :func:`audit_fks`: each table is scanned once, every row gives one short row per
+    key it takes part in, and one aggregation per key type counts them.
+    """
     wanted = set(frames) if loaded is None else set(loaded)
-    parts = []
+    by_type: dict[tuple[str, ...], list[tuple[str, tuple[str, ...], str | None, bool]]] = defaultdict(list)
     for name, table in spec.tables.items():
         if name not in frames or name not in wanted:
             continue
+        kinds = {f.name: f.dataType for f in frames[name].schema.fields}
         keys = [(table.primary_key, None, True)] if table.primary_key else []
         keys += [(u.columns, u.where, False) for u in table.uniques]
         for columns, where, primary in keys:
-            bad = audit_unique(frames[name], list(columns), where, primary)
-            parts.append(
-                bad.agg(F.count(F.lit(1)).alias("bad_keys"), F.coalesce(F.sum("n"), F.lit(0)).alias("bad_rows"))
-                .where("bad_keys > 0")
-                .select(
-                    F.lit(name).alias("table_name"),
-                    F.lit(",".join(columns)).alias("key_columns"),
-                    F.lit(where).cast("string").alias("key_where"),
-                    "bad_keys",
-                    "bad_rows",
-                )
-            )
-    if not parts:
+            by_type[tuple(_key_type(kinds[c], kinds[c]) for c in columns)].append((name, columns, where, primary))
+    if not by_type:
         spark = next(iter(frames.values())).sparkSession
-        return spark.createDataFrame(
-            [], "table_name string, key_columns string, key_where string, bad_keys bigint, bad_rows bigint"
-        )
-    return union_all(parts)
+        return spark.createDataFrame([], _KEYS_SCHEMA)
+    return union_all([_audit_keys_of_type(frames, members, sig) for sig, members in by_type.items()])
+
+
+def _audit_keys_of_type(frames: Frames, members: list, sig: tuple[str, ...]) -> DataFrame:
+    keys = [f"k{i}" for i in range(len(sig))]
+    emitted: dict[str, list[Column]] = defaultdict(list)
+    for tag, (name, columns, where, primary) in enumerate(members):
+        counts = F.lit(True) if where is None else F.coalesce(F.expr(where), F.lit(False))
+        if not primary:
+            for c in columns:
+                counts = counts & F.col(c).isNotNull()
+        values = [F.col(c).cast(t).alias(k) for c, t, k in zip(columns, sig, keys)]
+        emitted[name].append(F.struct(F.lit(tag).alias("tag"), counts.alias("counts"), *values))
+    rows = union_all([frames[n].select(F.inline(F.array(*entries))) for n, entries in emitted.items()])
+    per_key = rows.where("counts").groupBy("tag", *keys).agg(F.count(F.lit(1)).alias("n"))
+    missing = F.lit(False)
+    for k in keys:
+        missing = missing | F.col(k).isNull()
+    bad = per_key.where(missing | (F.col("n") > 1)).groupBy("tag")
+    totals = bad.agg(F.count(F.lit(1)).alias("bad_keys"), F.sum("n").alias("bad_rows"))
+
+    def label(texts: list[str | None]) -> Column:
+        return F.get(F.array(*[F.lit(t).cast("string") for t in texts]), F.col("tag"))
+
+    return totals.select(
+        label([m[0] for m in members]).alias("table_name"),
+        label([",".join(m[1]) for m in members]).alias("key_columns"),
+        label([m[2] for m in members]).alias("key_where"),
+        "bad_keys",
+        "bad_rows",
+    )
 
 
 def audit_cardinality(df: DataFrame, group: list[str], pred: str, lo: int = 1, hi: int = 1) -> DataFrame:
@@ -185,15 +208,20 @@ def next_id(top: Column) -> Column:
 
 
 def high_water(frames: Frames, identities: dict[str, list[str]]) -> DataFrame:
-    """``(table_name, column_name, next_id)`` for the identity columns (A4), one scan per table."""
-    parts = []
+    """``(table_name, column_name, next_id)`` for the identity columns (A4).
+
+    One scan per table and one pre-aggregated shuffle for all of them.
+    """
+    parts, none = [], []
     for name, columns in identities.items():
-        tops = frames[name].agg(*[F.max(c).alias(c) for c in columns])
-        marks = [
-            F.struct(F.lit(c).alias("column_name"), next_id(F.col(c)).alias("next_id")) for c in columns
-        ]
-        parts.append(tops.select(F.lit(name).alias("table_name"), F.inline(F.array(*marks))))
-    return union_all(parts)
+        ids = [F.struct(F.lit(c).alias("column_name"), F.col(c).cast("bigint").alias("id")) for c in columns]
+        parts.append(frames[name].select(F.lit(name).alias("table_name"), F.inline(F.array(*ids))))
+        none += [F.struct(F.lit(name).alias("table_name"), F.lit(c).alias("column_name")) for c in columns]
+    # a row without an id for each column, so that an empty table has a group
+    every = parts[0].sparkSession.range(1).select(F.inline(F.array(*none)))
+    parts.append(every.withColumn("id", F.lit(None).cast("bigint")))
+    tops = union_all(parts).groupBy("table_name", "column_name").agg(F.max("id").alias("top"))
+    return tops.select("table_name", "column_name", next_id(F.col("top")).alias("next_id"))
 
 
 def identities(spec: Spec) -> dict[str, list[str]]:

@@ -13,12 +13,12 @@ from rowkeel.spec import Frames, Spec
 
 def row_violations(frames: Frames, spec: Spec) -> DataFrame:
     """``(table_name, detail, rows)``: how many rows break each type, length, NULL or check rule."""
-    parts = []
-    for name, table in spec.tables.items():
-        if name in frames:
-            reasons = annotate(frames[name], table).select(F.explode(REASONS).alias("detail"))
-            parts.append(reasons.groupBy("detail").agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table_name"), "detail", "rows"))
-    return union_all(parts)
+    parts = [
+        annotate(frames[n], table).select(F.lit(n).alias("table_name"), F.explode(REASONS).alias("detail"))
+        for n, table in spec.tables.items()
+        if n in frames
+    ]
+    return union_all(parts).groupBy("table_name", "detail").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def audit_all(frames: Frames, spec: Spec) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from rowkeel.functions.rows import name_matches
 from rowkeel.sources.copytext import copy_line, copy_lines
 from rowkeel.sources.staging import hadoop_path, path_exists, read_small_text, write_small_text
-from rowkeel.sources.tables import union_all
+from rowkeel.sources.tables import per_name, with_all_tables
 from rowkeel.spec import Frames, Spec
 
 MANIFEST = "manifest.json"
@@ -90,45 +90,41 @@ def run_jobs(jobs: Iterable[Callable], parallel: int = 8) -> list:
 
 def line_metrics(line: Column) -> dict[str, Column]:
     """Order-insensitive measures of a set of COPY lines: rows, bytes and two combined hashes."""
-    h = F.xxhash64(line)
+    h = F.when(line.isNotNull(), F.xxhash64(line))
     return {
-        "rows": F.count(F.lit(1)),
+        "rows": F.count(line),
         "bytes": F.coalesce(F.sum(F.octet_length(line).cast("bigint") + 1), F.lit(0)),
         "hash_xor": F.coalesce(F.bit_xor(h), F.lit(0).cast("bigint")),
         "hash_sum": F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0)).cast("string"),
     }
 
 
-def _hash_text(xor: Column, total: Column) -> Column:
-    return F.concat_ws(":", F.lower(F.lpad(F.hex(xor), 16, "0")), total)
-
-
 def digest_text(observed: dict) -> str:
     """The combined hash of observed :func:`line_metrics`."""
     return f"{observed['hash_xor'] & (2**64 - 1):016x}:{observed['hash_sum']}"
 
 
-def _measured(lines: DataFrame, name: str, columns: list[str]) -> DataFrame:
-    m = lines.agg(*[c.alias(n) for n, c in line_metrics(F.col("value")).items()])
-    return m.select(
-        F.lit(name).alias("table_name"),
-        F.array(*[F.lit(c) for c in columns]).alias("columns"),
-        "rows",
-        "bytes",
-        _hash_text(F.col("hash_xor"), F.col("hash_sum")).alias("content_hash"),
+def _measured(lines: dict[str, DataFrame], columns: dict[str, list[str]]) -> DataFrame:
+    """Measures of every table's lines, with one pre-aggregated shuffle for all tables."""
+    parts = [df.select(F.lit(n).alias("table_name"), "value") for n, df in lines.items()]
+    per_table = with_all_tables(parts, list(lines)).groupBy("table_name").agg(
+        *[c.alias(n) for n, c in line_metrics(F.col("value")).items()]
     )
+    digest = F.concat_ws(":", F.lower(F.lpad(F.hex("hash_xor"), 16, "0")), "hash_sum")
+    names = per_name({n: F.array(*[F.lit(c) for c in cols]) for n, cols in columns.items()}, F.col("table_name"))
+    return per_table.select("table_name", names.alias("columns"), "rows", "bytes", digest.alias("content_hash"))
 
 
 def build_manifest(frames: Frames) -> DataFrame:
-    """``(table_name, columns, rows, bytes, content_hash)``, one aggregate per table."""
-    return union_all([_measured(df.select(copy_line(df).alias("value")), n, df.columns) for n, df in frames.items()])
+    """``(table_name, columns, rows, bytes, content_hash)`` of every table."""
+    lines = {n: df.select(copy_line(df).alias("value")) for n, df in frames.items()}
+    return _measured(lines, {n: df.columns for n, df in frames.items()})
 
 
 def measure_dump(spark: SparkSession, folder: str, manifest: Manifest) -> DataFrame:
     """The manifest recomputed from the dumped lines themselves, without decoding them."""
-    return union_all(
-        [_measured(copy_lines(spark, f"{folder}/{t.file}"), t.name, t.columns) for t in manifest.tables]
-    )
+    lines = {t.name: copy_lines(spark, f"{folder}/{t.file}") for t in manifest.tables}
+    return _measured(lines, {t.name: t.columns for t in manifest.tables})
 
 
 _MANIFEST_SCHEMA = "table_name string, columns array<string>, rows bigint, bytes bigint, content_hash string"

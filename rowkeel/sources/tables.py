@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,21 +73,38 @@ def empty_frame(spark: SparkSession, spec: Spec, name: str) -> DataFrame:
 def table_totals(frames: Frames, sums: dict[str, list[str]] | None = None) -> DataFrame:
     """One row per table: its row count, and per listed column its sum (A1).
 
-    Returns ``(table_name, measure, amount)``; ``measure`` is ``rows`` or the summed column.
-    Each table is read once, for the listed columns only.
+    Returns ``(table_name, measure, amount)``; ``measure`` is ``rows`` or the summed column. Each table
+    is read once for the listed columns only, and all tables share one pre-aggregated shuffle.
     """
+    wanted = {n: (sums or {}).get(n, []) for n in frames}
+    width = max((len(c) for c in wanted.values()), default=0)
     parts = []
     for name, df in frames.items():
-        wanted = (sums or {}).get(name, [])
-        one = df.agg(
-            F.count(F.lit(1)).cast("double").alias("rows"),
-            *[F.sum(F.col(c).cast("decimal(38,6)")).cast("double").alias(c) for c in wanted],
-        )
-        pairs = F.array(
-            *[F.struct(F.lit(m).alias("measure"), F.col(m).alias("amount")) for m in ["rows", *wanted]]
-        )
-        parts.append(one.select(F.lit(name).alias("table_name"), F.inline(pairs)))
-    return union_all(parts)
+        cols = [F.col(c).cast("decimal(38,6)") for c in wanted[name]]
+        cols += [F.lit(None).cast("decimal(38,6)")] * (width - len(cols))
+        parts.append(df.select(F.lit(name).alias("table_name"), F.lit(True).alias("row"), *[c.alias(f"s{i}") for i, c in enumerate(cols)]))
+    per_table = with_all_tables(parts, list(frames)).groupBy("table_name").agg(
+        F.count("row").cast("double").alias("rows"),
+        *[F.sum(f"s{i}").cast("double").alias(f"s{i}") for i in range(width)],
+    )
+    names = per_name({n: F.array(*[F.lit(m) for m in ["rows", *c]]) for n, c in wanted.items()}, F.col("table_name"))
+    amounts = F.array("rows", *[f"s{i}" for i in range(width)])
+    pairs = F.transform(names, lambda m, i: F.struct(m.alias("measure"), F.get(amounts, i).alias("amount")))
+    return per_table.select("table_name", F.inline(pairs))
+
+
+def per_name(values: dict[str, Column], name: Column) -> Column:
+    """The value that belongs to the table named by ``name``."""
+    pairs = [x for n, v in values.items() for x in (F.lit(n), v)]
+    return F.element_at(F.create_map(*pairs), name)
+
+
+def with_all_tables(parts: list[DataFrame], names: list[str]) -> DataFrame:
+    """The united parts and one otherwise empty row per name, so that empty tables keep their group."""
+    both = union_all(parts)
+    rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in both.schema.fields if f.name != "table_name"]
+    every = both.sparkSession.range(1).select(F.explode(F.array(*[F.lit(n) for n in names])).alias("table_name"), *rest)
+    return both.unionByName(every)
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:
