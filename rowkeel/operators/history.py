@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowkeel.sources.staging import stage
+from rowkeel.sources.staging import stage, stage_counted
 
 INSERT, UPDATE, DELETE = "INSERT", "UPDATE", "DELETE"
 
@@ -198,26 +198,28 @@ def resolve_asof(
     valid_from: str,
     valid_to: str,
     hot_rows: int | None = 1_000_000,
+    hot_pairs: int = 100_000_000,
 ) -> DataFrame:
     """Facts with every dimension row valid at their time: ``from <= ts < to``, a NULL ``to`` is open.
 
-    Keys with more than ``hot_rows`` facts are additionally split by time: a range of length L is
-    filed under the time slots it covers at the level whose slots are about L/16 wide, and the
-    hot facts look up their slot at each level in use. So a key holding a third of all facts
-    spreads over many tasks, and facts meet only ranges near their time. The hot-key table has
-    at most ``rows / hot_rows`` rows. ``hot_rows=None`` leaves out this pass.
+    Keys with more than ``hot_rows`` rows on a side, or ``hot_pairs`` pairs to compare, are also split
+    by time: a range of length L is filed under the time slots it covers at the level whose slots
+    are about L/16 wide, and the hot facts look up their slot at each level in use. So a key
+    holding a third of all rows spreads over many tasks, and facts meet only ranges near their
+    time. Finding the hot keys is one pre-aggregated pass over the keys of both sides;
+    ``hot_rows=None`` leaves it out.
     """
     kind = facts.schema[ts].dataType
     on_dim = [c for c in dim.columns if c not in key]
-    if hot_rows is None:
-        left = facts.withColumn("_slot", F.lit(0))
-        right = dim.withColumn("_slot", F.lit(0))
-    else:
-        hot = _hot_keys(facts, dim, key, ts, valid_from, valid_to, kind, hot_rows)
+    hot = None
+    if hot_rows is not None:
+        hot = _hot_keys(facts, dim, key, ts, valid_from, valid_to, kind, hot_rows, hot_pairs)
+    left, right, slot = facts, dim, []
+    if hot is not None:
+        slot = ["_level", "_slot"]
         left = facts.join(hot, key, "left").withColumn("_t", _seconds(F.col(ts), kind))
         slots = F.transform("_levels", lambda lv: F.struct(lv.alias("l"), _slot_of(F.col("_t"), lv).alias("b")))
-        left = left.withColumn("_slot", F.explode(F.coalesce(slots, _everywhere())))
-        left = left.drop("_lo", "_hi", "_levels", "_t")
+        left = left.select(*facts.columns, F.inline(F.coalesce(slots, _everywhere())).alias(*slot))
 
         right = _clamped(dim.join(hot, key, "left"), valid_from, valid_to, kind)
         right = right.where(F.col("_lo").isNull() | (F.col("_from") <= F.col("_to")))
@@ -226,13 +228,13 @@ def resolve_asof(
             F.sequence(_slot_of(F.col("_from"), lv), _slot_of(F.col("_to"), lv)),
             lambda b: F.struct(lv.alias("l"), b.alias("b")),
         )
-        right = right.withColumn("_slot", F.explode(F.when(F.col("_lo").isNull(), _everywhere()).otherwise(cover)))
-        right = right.drop("_lo", "_hi", "_levels", "_from", "_to")
+        cover = F.when(F.col("_lo").isNull(), _everywhere()).otherwise(cover)
+        right = right.select(*dim.columns, F.inline(cover).alias(*slot))
 
     f, d = left.alias("f"), right.alias("d")
-    cond = (F.col("f._slot") == F.col("d._slot")) & (F.col(f"d.{valid_from}") <= F.col(f"f.{ts}"))
+    cond = F.col(f"d.{valid_from}") <= F.col(f"f.{ts}")
     cond = cond & (F.col(f"d.{valid_to}").isNull() | (F.col(f"f.{ts}") < F.col(f"d.{valid_to}")))
-    for k in key:
+    for k in [*key, *slot]:
         cond = cond & (F.col(f"f.{k}") == F.col(f"d.{k}"))
     return f.join(d, cond).select(*[F.col(f"f.{c}") for c in facts.columns], *[F.col(f"d.{c}") for c in on_dim])
 
@@ -264,15 +266,17 @@ def _clamped(dim: DataFrame, valid_from: str, valid_to: str, kind: T.DataType) -
     return dim.withColumns({"_from": start, "_to": end})
 
 
-def _hot_keys(facts, dim, key, ts, valid_from, valid_to, kind, hot_rows) -> DataFrame:
+def _hot_keys(facts, dim, key, ts, valid_from, valid_to, kind, hot_rows, hot_pairs) -> DataFrame | None:
+    """``(key..., _lo, _hi, _levels)`` of the hot keys; None when there are none."""
     t = _seconds(F.col(ts), kind)
-    busy = (
-        facts.groupBy(*key)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min(t).alias("_lo"), F.max(t).alias("_hi"))
-        .where(F.col("_n") > hot_rows)
-        .drop("_n")
-    )
-    busy = stage(busy, "hot-keys")
+    n = facts.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.min(t).alias("_lo"), F.max(t).alias("_hi"))
+    m = dim.groupBy(*key).agg(F.count(F.lit(1)).alias("_m"))
+    # as doubles, because the product of two large counts may not fit
+    pairs = F.col("_n").cast("double") * F.col("_m")
+    busy = n.join(m, key).where((F.col("_n") > hot_rows) | (F.col("_m") > hot_rows) | (pairs > hot_pairs))
+    busy, got = stage_counted(busy.drop("_n", "_m"), "hot-keys")
+    if got["rows"] == 0:
+        return None
     level = _level(F.col("_to") - F.col("_from"))
     used = (
         _clamped(dim.join(busy, key), valid_from, valid_to, kind)
@@ -280,4 +284,6 @@ def _hot_keys(facts, dim, key, ts, valid_from, valid_to, kind, hot_rows) -> Data
         .groupBy(*key)
         .agg(F.collect_set(level).alias("_levels"))
     )
-    return stage(busy.join(used, key), "hot-key-levels")
+    # a hot key whose ranges all miss its facts has no level and so no result
+    empty = F.array().cast("array<int>")
+    return stage(busy.join(used, key, "left").withColumn("_levels", F.coalesce("_levels", empty)), "hot-key-levels")

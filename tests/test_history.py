@@ -109,7 +109,7 @@ def _brute(facts, dim):
                   if f[1] is not None and f[1] == d[0] and d[1] <= f[2] and (d[2] is None or f[2] < d[2]))
 
 
-@pytest.mark.parametrize("hot_rows", [None, 10, 100_000])
+@pytest.mark.parametrize("hot_rows", [None, 10, 60, 100_000])
 @pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz", "date", "bigint"])
 def test_asof_matches_brute_force(spark, hot_rows, kind):
     rng = random.Random(5)
@@ -133,7 +133,7 @@ def test_asof_matches_brute_force(spark, hot_rows, kind):
         dim.append((rng.choice(["hot", "hot", "a", "b", "c"]), at(start), end, j))
     f = frame(spark, f"fid int, key string, ts {kind}", facts)
     d = frame(spark, f"key string, vf {kind}, vt {kind}, owner int", dim)
-    got = history.resolve_asof(f, d, ["key"], "ts", "vf", "vt", hot_rows)
+    got = history.resolve_asof(f, d, ["key"], "ts", "vf", "vt", hot_rows, hot_pairs=5000 if hot_rows == 60 else 10**8)
     assert got.columns == ["fid", "key", "ts", "vf", "vt", "owner"]
     assert sorted((r.fid, r.owner) for r in got.collect()) == _brute(facts, dim)
 
