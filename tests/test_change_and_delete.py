@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rowkeel.functions.rows import content_key
 from rowkeel.operators import change
-from rowkeel.operators.audit import audit_fks
+from rowkeel.operators.audit import audit_cardinality, audit_fks
 from rowkeel.operators.referential import delete_where
 from rowkeel.spec import CASCADE, NO_ACTION, RESTRICT, SET_NULL, Column, ForeignKey, Spec, Table
 
@@ -173,3 +173,29 @@ def test_a_delete_that_matches_nothing(spark):
     result = delete_where(frames, "a", "id is null", spec)
     assert not result.blocked and result.report.count() == 0
     assert {t: df.count() for t, df in result.frames.items()} == {"a": 1, "b": 1, "c": 1, "d": 1}
+
+
+def test_seed_rows_with_computed_key_and_random_stamp(spark):
+    """Roles are added by their upper-cased name; existing ones keep their stamp."""
+    have = frame(spark, "name string, normalized_name string, stamp string", [("admin", "ADMIN", "old")])
+    wanted = frame(spark, "name string", [("Admin",), ("Office Manager",)]).withColumn("normalized_name", F.upper("name"))
+    got = change.insert_absent(have, wanted, ["normalized_name"], {"stamp": F.expr("uuid()")})
+    found = {r.normalized_name: (r.name, r.stamp) for r in got.collect()}
+    assert found["ADMIN"] == ("admin", "old")
+    assert found["OFFICE MANAGER"][0] == "Office Manager" and len(found["OFFICE MANAGER"][1]) == 36
+    again = change.insert_absent(got, wanted, ["normalized_name"], {"stamp": F.expr("uuid()")})
+    assert again.count() == 2
+
+
+def test_default_channel_is_seeded_and_backfilled(spark):
+    """The default row is guaranteed, then rows without a channel point at it."""
+    channels = spark.createDataFrame([], "id bigint, code string, name string, is_default boolean")
+    assert audit_cardinality(channels, [], "is_default").first()["n"] == 0
+    seed = frame(spark, "id bigint, code string", [(1, "DIRECT")])
+    channels = change.insert_absent(channels, seed, ["code"], {"name": "Direct", "is_default": True})
+    assert audit_cardinality(channels, [], "is_default").count() == 0
+    sales = frame(spark, "id bigint, channel_id bigint", [(1, None), (2, 7)])
+    filled = sales.withColumn("_code", F.lit("DIRECT"))
+    filled = change.backfill(filled, channels, {"_code": "code"}, {"channel_id": "id"}).drop("_code")
+    assert rows(filled) == [(1, 1), (2, 7)]
+    assert rows(change.backfill(filled.withColumn("_code", F.lit("DIRECT")), channels, {"_code": "code"}, {"channel_id": "id"}).drop("_code")) == rows(filled)
