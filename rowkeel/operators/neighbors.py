@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _PAIRS = "query_id bigint, neighbor_id bigint, similarity double"
 _QUERY_CHUNK = 1024
+MAX_PIVOTS = 2048
 _ROUND = 6
 
 
@@ -95,7 +97,7 @@ def knn(
     vec_col: str = "embedding",
     exclude_self: bool = True,
     broadcast_bytes: int = 64 << 20,
-    pivots: int = 128,
+    pivots: int | None = None,
     block: int = 4096,
 ) -> DataFrame:
     """The exact k nearest corpus rows of every query: ``(query_id, neighbor_id, similarity, rank)``.
@@ -136,18 +138,20 @@ def knn_by_cells(
     id_col: str = "id",
     vec_col: str = "embedding",
     exclude_self: bool = True,
-    pivots: int = 128,
+    pivots: int | None = None,
     block: int = 4096,
 ) -> DataFrame:
     """Exact k nearest rows for query sets of any size, as an equi-join on cells of space.
 
-    A fixed number of corpus vectors serve as pivots; every vector belongs to the cell of its nearest
-    pivot. A query first searches the nearest cells that hold k rows, which gives a true
+    Some corpus vectors, the square root of their number within 16 and 2048, serve as pivots; every
+    vector belongs to the cell of its nearest pivot. A query first searches the nearest cells that hold k rows, which gives a true
     distance bound, and then only those cells that can hold something closer by the triangle
     inequality. Cells are joined in blocks of bounded size (see :func:`_block_join`).
     """
     q, c = _prepared(queries, id_col, vec_col), _prepared(corpus, id_col, vec_col)
     spark = q.sparkSession
+    if pivots is None:
+        pivots = min(MAX_PIVOTS, max(16, isqrt(corpus.count())))
     picked = c.orderBy(F.xxhash64("id"), "id").limit(pivots).toArrow()
     if picked.num_rows == 0:
         return spark.createDataFrame([], _PAIRS + ", rank int")

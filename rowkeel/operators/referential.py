@@ -31,12 +31,12 @@ class _Doomed:
         self.parts: dict[str, list[DataFrame]] = defaultdict(list)
 
     def keys(self, fk: ForeignKey) -> DataFrame | None:
-        """Distinct deleted parent keys, named like the child's columns."""
+        """Deleted parent keys, named like the child's columns."""
         parts = self.parts.get(fk.parent)
         if not parts:
             return None
         cols = [F.col(p).alias(c) for c, p in zip(fk.columns, fk.parent_columns)]
-        return union_all(list(parts)).select(*cols).dropna().distinct()
+        return union_all(list(parts)).select(*cols).dropna()
 
     def copy(self) -> _Doomed:
         out = _Doomed()
@@ -55,7 +55,7 @@ def _referenced_columns(spec: Spec, table: str) -> list[str]:
 def _mark(df: DataFrame, keys: list[tuple[str, ForeignKey, DataFrame]]) -> DataFrame:
     """Add one boolean column per foreign key: does the row point at one of its keys?"""
     for flag, fk, gone in keys:
-        hit = gone.withColumn(flag, F.lit(True))
+        hit = gone.distinct().withColumn(flag, F.lit(True))
         df = df.join(hit, list(fk.columns), "left").withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
     return df
 
@@ -95,8 +95,7 @@ def delete_where(frames: Frames, table: str, pred: str, spec: Spec) -> DeleteRes
         found: dict[str, list[DataFrame]] = defaultdict(list)
         for name, keys in frontier.items():
             for fk in into[name]:
-                gone = keys.select(*[F.col(p).alias(c) for c, p in zip(fk.columns, fk.parent_columns)])
-                gone = gone.dropna().distinct()
+                gone = keys.select(*[F.col(p).alias(c) for c, p in zip(fk.columns, fk.parent_columns)]).dropna()
                 if fk.on_delete == RESTRICT:
                     left = _pointing(frames, fk, gone, cascades, before, root if fk.child == table else None)
                     if left:

@@ -683,7 +683,7 @@ def knn_exact(spark, sf):
 def knn_cells(spark, sf):
     """The same as a cell join, the way large query sets go."""
     e = star.table(spark, sf, "embeddings")
-    return neighbors.knn_by_cells(e, e, 5, "vec_id", pivots=32, block=1024)
+    return neighbors.knn_by_cells(e, e, 5, "vec_id")
 
 
 @query
