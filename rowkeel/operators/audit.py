@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rowkeel.sources.staging import stage
 from rowkeel.sources.tables import union_all
 from rowkeel.spec import ForeignKey, Frames, Spec
 
@@ -22,14 +23,15 @@ _AUDIT_SCHEMA = "child string, child_columns string, parent string, orphan_rows
 def orphans(child: DataFrame, parent: DataFrame, columns: list[str], parent_columns: list[str]) -> DataFrame:
     """Child rows whose whole non-NULL key has no parent row.
 
-    The parentless *keys* are found first, on key columns only and pre-aggregated before the
-    shuffle, so a key shared by a third of all rows travels once per task. The full child rows
-    are then semi-joined with those keys; they are not shuffled when the keys are few (AQE
-    measures them) and skewed keys are split by AQE otherwise.
+    The parentless *keys* are found and written down first, on key columns only and pre-aggregated
+    before the shuffle, so a key shared by a third of all rows travels once per task. The full
+    child rows are then semi-joined with the written keys: their size is known, so the rows are not
+    shuffled when the keys are few, and a frequent key is split by AQE otherwise (which it
+    could not do within one stage with the first join).
     """
     keys = child.select(*columns).dropna().distinct()
     parents = parent.select(*[F.col(p).alias(c) for c, p in zip(columns, parent_columns)])
-    lost = keys.join(parents, columns, "left_anti")
+    lost = stage(keys.join(parents, columns, "left_anti"), "lost-keys")
     return child.join(lost, columns, "left_semi").select(*child.columns)
 
 
