@@ -8,9 +8,11 @@ import compare
 import pytest
 
 import __spark_entry__ as entry_points
+from rowkeel.plans.oracle import oracle
+from rowkeel.plans.queries import registered
 
-QUERIES = entry_points.queries()
-ORACLE = entry_points.oracle_sql()
+QUERIES = registered()
+ORACLE = oracle()
 IN_PYTHON = {"knn_exact", "knn_cells", "knn_lsh"}
 
 
@@ -36,6 +38,11 @@ def test_query_matches_sql(name, spark, sf, con):
         assert "InArrow" not in plan and "ArrowEval" not in plan
 
 
+def test_entry_points_hold_every_query():
+    assert set(QUERIES) <= set(entry_points.queries())
+    assert set(ORACLE) <= set(entry_points.oracle_sql())
+
+
 def test_entry(spark):
     df = entry_points.entry(spark)
     assert df.columns == ["child", "child_columns", "parent", "orphan_rows"]
