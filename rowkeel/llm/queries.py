@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from rowkeel.llm import chat, crosspolytope, maxscore, secrets
+from rowkeel.llm import bpe, chat, crosspolytope, maxscore, mixing, secrets
 
 QUERIES = {
     f.__name__: f
     for f in (
+        mixing.op1_mixing,
+        bpe.op5_bpe,
         maxscore.op7_maxscore,
         crosspolytope.op8_crosspolytope,
         secrets.op9_secrets,
