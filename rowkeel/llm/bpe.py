@@ -24,6 +24,7 @@ import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rowkeel.llm.common import pieces, table, text_of
 
@@ -217,7 +218,7 @@ def encode(docs: DataFrame, words: Broadcast, keep: list[str], packed: bool = Fa
 
     A null or empty text has no ids. One pass, no shuffle; texts are read whole.
     """
-    schema = docs.select(*keep).schema.add("ids", "binary" if packed else "array<int>")
+    schema = T.StructType([*docs.select(*keep).schema, T.StructField("ids", T.BinaryType() if packed else T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = compiled(words.value)
@@ -237,7 +238,7 @@ def encode(docs: DataFrame, words: Broadcast, keep: list[str], packed: bool = Fa
 
 def decode(encoded: DataFrame, words: Broadcast) -> DataFrame:
     """``encoded`` with ``decoded``, the text of its packed ``ids``; null ids give an empty text."""
-    schema = encoded.schema.add("decoded", "string")
+    schema = T.StructType([*encoded.schema, T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = compiled(words.value)

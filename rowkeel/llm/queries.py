@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from rowkeel.llm import bpe, chat, crosspolytope, maxscore, mixing, secrets
+from rowkeel.llm import bpe, chat, crosspolytope, lm, maxscore, mixing, quality, secrets
 
 QUERIES = {
     f.__name__: f
     for f in (
         mixing.op1_mixing,
+        quality.op2_quality,
+        lm.op3_hmm,
         bpe.op5_bpe,
         maxscore.op7_maxscore,
         crosspolytope.op8_crosspolytope,
