@@ -58,6 +58,19 @@ def tokens(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
+def hash_sample(df: DataFrame, rows: int, *key: str) -> DataFrame:
+    """At most ``rows`` rows, those of the lowest hash of ``key``, one per hash.
+
+    Rows are counted first, so that only about twice as many as asked for are ever ordered.
+    """
+    h = free_name(df, "h")
+    n = df.count()
+    hashed = df.withColumn(h, F.xxhash64(*key))
+    if n > 4 * rows:
+        hashed = hashed.where(F.pmod(h, F.lit(1 << 40)) < int((1 << 40) * 2 * rows / n))
+    return hashed.dropDuplicates([h]).orderBy(F.pmod(h, F.lit(1 << 40)), h).limit(rows).drop(h)
+
+
 def scored_by(make: Callable[[], Callable[[list[str]], np.ndarray]]) -> Callable[[Column], Column]:
     """A column function of texts: ``make`` runs once per task and gives a function from texts to numbers."""
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowkeel.llm.common import pieces, table, text_of, tokens
+from rowkeel.llm.common import hash_sample, pieces, table, text_of, tokens
 from rowkeel.llm.quality import remainder
 from rowkeel.sources.staging import stage
 
@@ -267,7 +267,7 @@ def train(docs: DataFrame, counts: DataFrame, rounds: int = ROUNDS) -> Model:
     k = np.ones(1)
     model = Model(symbols, c, total, distinct, k, k[None], k[None])
     short = docs.select(text_of().alias("text")).where(F.octet_length("text").between(1, SAMPLE_BYTES))
-    sample = [r.text for r in short.orderBy(F.xxhash64("text"), "text").limit(SAMPLE_ROWS).collect()]
+    sample = [r.text for r in hash_sample(short, SAMPLE_ROWS, "text").collect()]
     model = first_guess(model, sample)
     for _ in range(rounds):
         model = baum_welch_round(docs, model)

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowkeel.llm.common import free_name, scored_by, table, text_of
+from rowkeel.llm.common import free_name, hash_sample, scored_by, table, text_of
 
 WIDTH, STRIDE, DEPTH, FILTERS = 12, 6, 6, 32
 #: The sample that the network is fitted on: so many labelled rows at most, by hash, none of more bytes than this.
@@ -155,7 +155,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS,
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (remainder(F.col("doc_id"), 5) != 0))
     known = known.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
     # as many again, for those whose text is too long or absent
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * rows)
+    chosen = hash_sample(known, 2 * rows, "doc_id")
     texts = docs.select("doc_id", text_of().alias("text")).where(F.octet_length("text") <= most_bytes)
     picked = texts.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows)
     got = picked.select("text", "y").toArrow()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rowkeel.llm import bpe, chat, crosspolytope, lm, maxscore, mixing, quality, secrets
+from rowkeel.llm import bpe, chat, crosspolytope, lm, maxscore, minhash, mixing, quality, secrets
 
 QUERIES = {
     f.__name__: f
@@ -10,6 +10,7 @@ QUERIES = {
         mixing.op1_mixing,
         quality.op2_quality,
         lm.op3_hmm,
+        minhash.op4_minhash,
         bpe.op5_bpe,
         maxscore.op7_maxscore,
         crosspolytope.op8_crosspolytope,
