@@ -11,6 +11,8 @@ import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rowkeel.sources.staging import stage
+
 #: Code points of the white space that separates words, as a Java pattern of one word.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -58,6 +60,20 @@ def tokens(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stage_once(df: DataFrame, label: str) -> DataFrame:
+    """:func:`stage` for large shuffles: Spark drops their files when the table is written, not when memory is next collected."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEAN_UP, "false")
+    conf.set(_CLEAN_UP, "true")
+    try:
+        return stage(df, label)
+    finally:
+        conf.set(_CLEAN_UP, before)
+
+
 def hash_sample(df: DataFrame, rows: int, *key: str) -> DataFrame:
     """At most ``rows`` rows, those of the lowest hash of ``key``, one per hash.
 

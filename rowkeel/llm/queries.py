@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rowkeel.llm import bpe, chat, crosspolytope, lm, maxscore, minhash, mixing, quality, secrets
+from rowkeel.llm import bpe, chat, crosspolytope, lm, maxscore, minhash, mixing, quality, repeats, secrets
 
 QUERIES = {
     f.__name__: f
@@ -12,6 +12,7 @@ QUERIES = {
         lm.op3_hmm,
         minhash.op4_minhash,
         bpe.op5_bpe,
+        repeats.op6_suffixes,
         maxscore.op7_maxscore,
         crosspolytope.op8_crosspolytope,
         secrets.op9_secrets,
