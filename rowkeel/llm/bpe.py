@@ -249,8 +249,8 @@ def decode(encoded: DataFrame, words: Broadcast) -> DataFrame:
     return encoded.mapInArrow(run, schema)
 
 
-def digest(docs: DataFrame, path: str, keep: list[str]) -> DataFrame:
-    """``keep`` columns, the number of tokens, and digests of the ids and of the decoded text."""
+def digest(docs: DataFrame, path: str, keep: list[str], with_ids: bool = False) -> DataFrame:
+    """``keep`` columns, the number of tokens, digests of the ids and of the decoded text, and the packed ids where ``with_ids``."""
     words = vocabulary(docs.sparkSession, path)
     both = decode(encode(docs, words, keep, packed=True), words)
     return both.select(
@@ -258,6 +258,7 @@ def digest(docs: DataFrame, path: str, keep: list[str]) -> DataFrame:
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        *(["ids"] if with_ids else []),
     )
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowkeel.llm.common import free_name, pieces, table, text_of, tokens
+from rowkeel.llm.common import WORD, free_name, pieces, table, text_of, tokens
 from rowkeel.llm.graph import components
 from rowkeel.sources.staging import stage
 
@@ -220,7 +220,7 @@ def _across(members: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
 
 
 def _grouped(docs: DataFrame, id_column: str, k: int, percent: int) -> DataFrame:
-    """``r, id, n, component`` of every row; ``component`` is a node, null for an empty set. ``r`` numbers the rows of a written table."""
+    """``r, id, t1, t2, n, component`` of every row; ``component`` is a node, null for an empty set. ``r`` numbers the rows of a written table."""
     rows = stage(_signed(docs.withColumnRenamed(id_column, "id"), k, ["id"]).withColumn("r", F.monotonically_increasing_id()), "signed")
     nodes = stage(rows.where("fp IS NOT NULL").groupBy("fp").agg(F.min("r").alias("node")), "nodes")
     of_node = rows.join(nodes.select(F.col("node").alias("r")), "r", "left_semi")
@@ -244,7 +244,7 @@ def _grouped(docs: DataFrame, id_column: str, k: int, percent: int) -> DataFrame
     more = _verified(stage(across.join(tried, ["a", "b"], "left_anti"), "across"), texts, k, percent)
     whole = components(links.union(more))
     of_fp = nodes.join(whole, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
-    return rows.select("r", "id", "n", "fp").join(of_fp, "fp", "left").select("r", "id", "n", "component")
+    return rows.select("r", "id", "t1", "t2", "n", "fp").join(of_fp, "fp", "left").drop("fp")
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", shingle_words: int = 5, percent: int = 80) -> DataFrame:
@@ -265,21 +265,20 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", shingle_words: i
 def deduplicated(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one row of each group, all columns; rows without words all stay.
 
-    The row with the least ``doc_id`` stays (nulls last); which of several equal rows is of no account. Groups are found on
-    texts, so rows are matched to them by the key of their text.
+    The row with the least ``doc_id`` stays (nulls last); which of several rows with that id and text is of no account.
+    Rows are found again by the key of their text and their id.
     """
-    distinct = docs.select(text_of().alias("text")).groupBy("text").agg(F.lit(0).alias("zero")).select("text")
-    keyed = distinct.select(*text_key(F.col("text")), "text").withColumn("key", F.struct("t1", "t2"))
-    groups = _grouped(keyed.select("key", "text"), "key", shingle_words, percent).where("component IS NOT NULL")
-    of_text = groups.select(F.col("id.t1").alias("t1"), F.col("id.t2").alias("t2"), "component")
-    row, t1, t2, number = (free_name(docs, n) for n in ("row", "t1", "t2", "number"))
-    rows = docs.select(F.struct("*").alias(row), *[c.alias(n) for c, n in zip(text_key(text_of()), (t1, t2), strict=True)])
-    rows = stage(rows.withColumn(number, F.monotonically_increasing_id()), "rows")
-    narrow = rows.select(t1, t2, number, F.col(row)["doc_id"].alias("id")).join(of_text.toDF(t1, t2, "component"), [t1, t2], "left")
-    best = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", number))
-    first = narrow.where("component IS NOT NULL").groupBy("component").agg(best.alias("best")).select(F.col("best")[number].alias(number))
-    keep = stage(first.union(narrow.where("component IS NULL").select(number)), "keep")
-    return rows.join(keep, number, "left_semi").select(f"{row}.*")
+    groups = _grouped(docs.select("doc_id", "text"), "doc_id", shingle_words, percent).where("component IS NOT NULL")
+    best = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "t1", "t2")).alias("best")
+    first = stage(groups.groupBy("component").agg(best).select("best.id", "best.t1", "best.t2"), "first")
+    row, key = (free_name(docs, n) for n in ("row", "key"))
+    of_row = lambda t1, t2, i: F.struct(t1, t2, F.coalesce(F.concat(F.lit("="), i.cast("string")), F.lit("")))
+    keep = first.select(of_row(F.col("t1"), F.col("t2"), F.col("id")).alias(key))
+    t1, t2 = text_key(text_of())
+    worded = F.rlike(text_of(), F.lit(WORD))
+    keyed = docs.where(worded).select(F.struct("*").alias(row), of_row(t1, t2, F.col("doc_id")).alias(key))
+    one = keyed.join(keep, key, "left_semi").groupBy(key).agg(F.first(row).alias(row)).select(f"{row}.*")
+    return one.unionByName(docs.where(~worded))
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
