@@ -25,8 +25,8 @@ from rowkeel.llm import suffixes
 from rowkeel.llm.common import pieces, stage_once, table, text_of
 
 LENGTH, BATCHES = 200, 3
-#: Distinct runs of one anchor that a task compares; those of commoner anchors are compared by a shuffle on their windows.
-RUNS_IN_TASK = 1000
+#: Distinct runs of one anchor that a task compares at once; it bounds memory and changes no result.
+RUNS_IN_TASK = 16_384
 _ENTRY = "d long, key long, span long, start long, windows int"
 
 
@@ -81,51 +81,76 @@ def _contexts(docs: DataFrame, info: DataFrame, length: int) -> DataFrame:
     return docs.join(lists, "d").select("text", "all").mapInArrow(run, schema).dropDuplicates(["key", "span"])
 
 
-def _window_hashes(contexts: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _window_hashes(contexts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``row, offset, hash`` of every window of every context."""
-    raw = contexts.to_pylist()
-    hashes = [suffixes.windows(c, 0, len(c) - length + 1, length) for c in raw]
-    counts = np.array([len(h) for h in hashes])
-    row = np.repeat(np.arange(len(raw)), counts)
-    return row, np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts), np.concatenate(hashes)
-
-
-_PARTIAL = "key long, span long, runs array<struct<offset:int,windows:int>>"
+    out: list[list[np.ndarray]] = [[], [], []]
+    for data, held in suffixes.parts(contexts, length):
+        h = suffixes.Hashes(data).all_of(length).view(np.int64)
+        piece = np.array(held, np.int64)
+        counts = piece[:, 3] - length + 1
+        offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        values = (np.repeat(piece[:, 0], counts), offset + np.repeat(piece[:, 1], counts), h[np.repeat(piece[:, 2], counts) + offset])
+        for o, v in zip(out, values, strict=True):
+            o.append(v)
+    row, offset, h = (np.concatenate(o) if o else np.zeros(0, np.int64) for o in out)
+    return row, offset, h
 
 
 def _partial(contexts: DataFrame, length: int) -> DataFrame:
-    """For runs that occur once: which of their windows another run with the same anchor holds too."""
+    """For runs that occur once: which of their windows another run with the same anchor holds too.
 
-    def compare(group: pa.Table) -> pa.Table:
-        n = group["n"].to_numpy()
-        row, offset, h = _window_hashes(group["context"].combine_chunks(), length)
-        _, where, count = np.unique(h, return_inverse=True, return_counts=True)
-        again = count[where] > 1
-        out: list[tuple[int, list[dict]]] = []
-        for i in np.flatnonzero(n == 1):
-            o = offset[(row == i) & again]
-            if len(o):
-                cut = np.flatnonzero(np.diff(o) > 1) + 1
-                out.append((i, [{"offset": int(p[0]), "windows": len(p)} for p in np.split(o, cut)]))
-        kind = pa.list_(pa.struct([("offset", pa.int32()), ("windows", pa.int32())]))
-        rows = pa.array([i for i, _ in out], pa.int64())
-        return pa.table({"key": group["key"].take(rows), "span": group["span"].take(rows), "runs": pa.array([r for _, r in out], kind)})
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Tasks compare whole groups of anchors. The runs of a common anchor are cut into classes of window hashes, as many as
+    keep a class near the size of ``RUNS_IN_TASK`` runs; equal windows fall into the same class.
+    """
+    groups = max(1, contexts.count() // 4096)
+    windows = pa.list_(pa.int64())
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Runs of common anchors as ``(class, offsets, hashes)``; the others keep their bytes."""
         for batch in batches:
-            if batch.num_rows:
-                row, offset, h = _window_hashes(batch.column("context"), length)
-                index = pa.array(row)
-                yield pa.record_batch(
-                    [batch.column("key").take(index), batch.column("span").take(index), batch.column("n").take(index), pa.array(offset.astype(np.int32)), pa.array(h)],
-                    names=["key", "span", "n", "offset", "h"],
-                )
+            classes = -(-batch.column("runs").to_numpy() // RUNS_IN_TASK)
+            source, part, offsets, hashes = list(np.flatnonzero(classes == 1)), [], [], []
+            part, offsets, hashes = [0] * len(source), [None] * len(source), [None] * len(source)
+            large = np.flatnonzero(classes > 1)
+            row, offset, h = _window_hashes(batch.column("context").take(pa.array(large)).to_pylist(), length)
+            for i, index in enumerate(large):
+                own_offset, own_h = offset[row == i], h[row == i]
+                own_class = own_h.view(np.uint64) % np.uint64(classes[index])
+                for c in np.unique(own_class):
+                    source.append(index)
+                    part.append(int(c))
+                    offsets.append(own_offset[own_class == c])
+                    hashes.append(own_h[own_class == c])
+            taken = pa.array(source, pa.int64())
+            bytes_ = [c if o is None else None for c, o in zip(batch.column("context").take(taken).to_pylist(), offsets, strict=True)]
+            yield pa.record_batch(
+                [*(batch.column(c).take(taken) for c in ("key", "span", "n")), pa.array(part, pa.int32()), pa.array(bytes_, pa.binary()), pa.array(offsets, windows), pa.array(hashes, windows)],
+                names=["key", "span", "n", "part", "context", "offsets", "hashes"],
+            )
 
-    few = contexts.where(F.col("runs") <= RUNS_IN_TASK).groupBy("key").applyInArrow(compare, _PARTIAL)
-    each = contexts.where(F.col("runs") > RUNS_IN_TASK).select("key", "span", "n", "context").mapInArrow(spread, "key long, span long, n long, offset int, h long")
-    twice = each.groupBy("key", "h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key", "h")
-    many = each.where("n = 1").join(twice, ["key", "h"]).groupBy("key", "span")
-    return few.union(many.agg(F.collect_list(F.struct("offset", F.lit(1).alias("windows"))).alias("runs")))
+    def compare(group: pa.Table) -> pa.Table:
+        n, key = group["n"].to_numpy(), group["key"].to_numpy()
+        contexts_, offsets, hashes = (group[c].to_pylist() for c in ("context", "offsets", "hashes"))
+        row, offset, h = _window_hashes([c or b"" for c in contexts_], length)
+        cut_rows = [i for i, o in enumerate(offsets) if o is not None]
+        if cut_rows:
+            row = np.concatenate([row, *(np.full(len(offsets[i]), i) for i in cut_rows)])
+            offset = np.concatenate([offset, *(np.array(offsets[i]) for i in cut_rows)])
+            h = np.concatenate([h, *(np.array(hashes[i]) for i in cut_rows)])
+        own = suffixes.mixed(h.view(np.uint64) ^ suffixes.mixed(key[row].view(np.uint64)))
+        _, where, count = np.unique(own, return_inverse=True, return_counts=True)
+        again = (count[where] > 1) & (n[row] == 1)
+        row, offset = row[again], offset[again]
+        order = np.lexsort((offset, row))
+        row, offset = row[order], offset[order]
+        first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (offset[1:] != offset[:-1] + 1))) if len(row) else np.zeros(0, np.int64)
+        taken = pa.array(row[first])
+        size = np.diff(np.append(first, len(row))).astype(np.int32)
+        return pa.table({"key": group["key"].take(taken), "span": group["span"].take(taken), "offset": pa.array(offset[first].astype(np.int32)), "windows": pa.array(size)})
+
+    schema = "key long, span long, n long, part int, context binary, offsets array<long>, hashes array<long>"
+    parted = contexts.mapInArrow(cut, schema).groupBy(F.pmod(F.xxhash64("key", "part"), F.lit(groups)).alias("g"))
+    return parted.applyInArrow(compare, "key long, span long, offset int, windows int")
 
 
 def repeated(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES) -> DataFrame:
@@ -146,9 +171,8 @@ def repeated(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES) -> D
     info = runs.join(runs.groupBy("key").agg(F.count(F.lit(1)).alias("runs")), "key")
     contexts = stage_once(_contexts(docs, info, length), "contexts")
     partial = stage_once(_partial(contexts, length), "partial")
-    whole = runs.where("n > 1").select("key", "span", F.array(F.struct(F.lit(0).alias("offset"), F.col("windows").alias("windows"))).alias("runs"))
+    whole = runs.where("n > 1").select("key", "span", F.lit(0).alias("offset"), "windows")
     found = again.select("d", "start", "key", "span").distinct().join(whole.union(partial), ["key", "span"])
-    found = found.select("d", "start", F.inline("runs"))
     begin = F.col("start") + F.col("offset")
     return found.groupBy("d").agg(F.collect_list(F.struct(begin.alias("begin"), (begin + F.col("windows") + (length - 1)).alias("end"))).alias("found"))
 
