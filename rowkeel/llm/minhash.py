@@ -30,7 +30,7 @@ from rowkeel.sources.staging import stage
 ROWS, BANDS, BATCH, MISS = 5, 44, 20, 1e-9
 HASHES = ROWS * BANDS
 #: Members of a block when a bucket is compared inside tasks.
-BLOCK = 512
+BLOCK = 4096
 _WORDS_KEPT = 300_000
 _rng = np.random.default_rng(2024)
 _XOR = _rng.integers(0, 1 << 32, HASHES, np.uint64).astype(np.uint32)
@@ -190,18 +190,21 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
 
 
 def _across(members: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
-    """Surviving pairs of different components in the same bucket; ``members`` is ``key, node, n, component``."""
+    """Surviving pairs of different components in the same bucket; ``members`` is ``band, key, node, n, component``.
+
+    A pair that shares several buckets is looked at in the first band in which it agrees only.
+    """
     least = least_matches(threshold)
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     cut = members.withColumn("blocks", blocks).withColumn("own", own)
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cut = cut.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "component")
+    cut = cut.select("band", "key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "component")
     rows = cut.join(sigs, "node")
 
     def compare(group: pa.Table) -> pa.Table:
         node, comp, own = (group[c].to_numpy() for c in ("node", "component", "own"))
-        x, y = group["x"][0].as_py(), group["y"][0].as_py()
+        x, y, band = (group[c][0].as_py() for c in ("x", "y", "band"))
         sig = _matrix(group["sig"].combine_chunks())
         order = np.argsort(node, kind="stable")
         node, comp, own, sig = node[order], comp[order], own[order], sig[order]
@@ -212,11 +215,12 @@ def _across(members: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
             rest = rest[comp[rest] != comp[i]]
             if len(rest):
                 rest = rest[surviving(np.broadcast_to(sig[i], (len(rest), HASHES)), sig[rest], least)]
+                rest = rest[(sig[rest] == sig[i]).reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
                 found += [(min(node[i], node[j]), max(node[i], node[j])) for j in rest]
         a, b = zip(*found, strict=True) if found else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return rows.groupBy("key", "x", "y").applyInArrow(compare, "a long, b long").distinct()
+    return rows.groupBy("band", "key", "x", "y").applyInArrow(compare, "a long, b long")
 
 
 def _grouped(docs: DataFrame, id_column: str, k: int, percent: int) -> DataFrame:
@@ -225,9 +229,9 @@ def _grouped(docs: DataFrame, id_column: str, k: int, percent: int) -> DataFrame
     nodes = stage(rows.where("fp IS NOT NULL").groupBy("fp").agg(F.min("r").alias("node")), "nodes")
     of_node = rows.join(nodes.select(F.col("node").alias("r")), "r", "left_semi")
     sigs = of_node.select(F.col("r").alias("node"), "sig")
-    banded = of_node.select(F.col("r").alias("node"), F.explode(_bands()).alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = stage(banded.join(buckets, "key"), "buckets")
+    banded = of_node.select(F.col("r").alias("node"), F.posexplode(_bands()).alias("band", "key"))
+    buckets = banded.groupBy("band", "key").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = stage(banded.join(buckets, ["band", "key"]), "buckets")
     near = stage(members.select("node").distinct(), "near")
     keys = of_node.select(F.col("r").alias("node"), "t1", "t2").join(near, "node", "left_semi")
     text = text_of()
@@ -239,8 +243,8 @@ def _grouped(docs: DataFrame, id_column: str, k: int, percent: int) -> DataFrame
     links = stage(_verified(tried, texts, k, percent), "links")
     joined = components(links)
     named = members.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    across = _across(named.select("key", "node", "n", "component").join(mixed, "key"), sigs, threshold)
+    mixed = named.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band", "key")
+    across = _across(named.select("band", "key", "node", "n", "component").join(mixed, ["band", "key"]), sigs, threshold)
     more = _verified(stage(across.join(tried, ["a", "b"], "left_anti"), "across"), texts, k, percent)
     whole = components(links.union(more))
     of_fp = nodes.join(whole, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
