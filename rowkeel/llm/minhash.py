@@ -8,7 +8,7 @@ and pruning may lose together at the threshold is below 1e-7 a pair.
 
 Buckets are never expanded into all pairs. First each member meets its bucket's least member, which joins nearly all
 copies. Pairs inside a component need no look any more; the buckets that still hold several components are compared
-inside tasks, in pairs of blocks of bounded size, and only the survivors leave the task.
+inside tasks, in pairs of blocks of bounded size, and only verified links leave the task.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from rowkeel.sources.staging import stage
 ROWS, BANDS, BATCH, MISS = 5, 44, 20, 1e-9
 HASHES = ROWS * BANDS
 #: Members of a block when a bucket is compared inside tasks.
-BLOCK = 4096
+BLOCK = 2048
 _WORDS_KEPT = 300_000
 _rng = np.random.default_rng(2024)
 _XOR = _rng.integers(0, 1 << 32, HASHES, np.uint64).astype(np.uint32)
@@ -189,38 +189,67 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return joined.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _across(members: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
-    """Surviving pairs of different components in the same bucket; ``members`` is ``band, key, node, n, component``.
+def _across(members: DataFrame, sigs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Verified links between different components in the same bucket; ``members`` is ``band, key, node, n, component``.
 
-    A pair that shares several buckets is looked at in the first band in which it agrees only.
+    A pair that shares several buckets is looked at in the first band in which it agrees only. Pairs never leave their task:
+    a first pass names the members that have a surviving pair, a second one fetches their texts and verifies.
     """
-    least = least_matches(threshold)
+    least = least_matches(percent / 100)
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     cut = members.withColumn("blocks", blocks).withColumn("own", own)
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cut = cut.select("band", "key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "component")
-    rows = cut.join(sigs, "node")
-
-    def compare(group: pa.Table) -> pa.Table:
-        node, comp, own = (group[c].to_numpy() for c in ("node", "component", "own"))
-        x, y, band = (group[c][0].as_py() for c in ("x", "y", "band"))
-        sig = _matrix(group["sig"].combine_chunks())
-        order = np.argsort(node, kind="stable")
-        node, comp, own, sig = node[order], comp[order], own[order], sig[order]
-        found = []
-        for i in range(len(node)):
-            # within one block the later nodes; across two blocks the other block's nodes
-            rest = np.arange(i + 1, len(node)) if x == y else (np.flatnonzero(own == y) if own[i] == x else np.zeros(0, int))
+    rows = stage(cut.join(sigs, "node"), "blocks")
+    group = ["band", "key", "x", "y"]
+
+    def pairs(table_: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+        """Surviving pairs as indices: one row and the rows it is paired with."""
+        comp, own = table_["component"].to_numpy(), table_["own"].to_numpy()
+        x, y, band = (table_[c][0].as_py() for c in ("x", "y", "band"))
+        sig = _matrix(table_["sig"].combine_chunks())
+        for i in range(len(comp)):
+            # within one block the later rows; across two blocks the other block's rows
+            rest = np.arange(i + 1, len(comp)) if x == y else (np.flatnonzero(own == y) if own[i] == x else np.zeros(0, int))
             rest = rest[comp[rest] != comp[i]]
             if len(rest):
                 rest = rest[surviving(np.broadcast_to(sig[i], (len(rest), HASHES)), sig[rest], least)]
                 rest = rest[(sig[rest] == sig[i]).reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
-                found += [(min(node[i], node[j]), max(node[i], node[j])) for j in rest]
-        a, b = zip(*found, strict=True) if found else ((), ())
+                if len(rest):
+                    yield i, rest
+
+    def touched(table_: pa.Table) -> pa.Table:
+        mark = np.zeros(table_.num_rows, bool)
+        for i, rest in pairs(table_):
+            mark[i] = True
+            mark[rest] = True
+        return table_.select([*group, "node"]).filter(pa.array(mark))
+
+    def verify(table_: pa.Table) -> pa.Table:
+        node, comp = table_["node"].to_numpy(), table_["component"].to_numpy()
+        sets = [shingle_set(t.as_py(), k) for t in table_["text"]]
+        # components that a link of this group joined need no further pair
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while c in root:
+                c = root[c]
+            return c
+
+        out = []
+        for i, rest in pairs(table_):
+            for j in rest:
+                p, q = find(comp[i]), find(comp[j])
+                if p != q and linked(sets[i], sets[j], percent):
+                    root[max(p, q)] = min(p, q)
+                    out.append((min(node[i], node[j]), max(node[i], node[j])))
+        a, b = zip(*out, strict=True) if out else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return rows.groupBy("band", "key", "x", "y").applyInArrow(compare, "a long, b long")
+    met = rows.groupBy(*group).applyInArrow(touched, "band int, key long, x int, y int, node long")
+    full = rows.join(met, [*group, "node"]).join(texts, "node")
+    return full.groupBy(*group).applyInArrow(verify, "a long, b long")
 
 
 def _grouped(docs: DataFrame, id_column: str, k: int, percent: int) -> DataFrame:
@@ -244,9 +273,8 @@ def _grouped(docs: DataFrame, id_column: str, k: int, percent: int) -> DataFrame
     joined = components(links)
     named = members.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = named.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band", "key")
-    across = _across(named.select("band", "key", "node", "n", "component").join(mixed, ["band", "key"]), sigs, threshold)
-    more = _verified(stage(across.join(tried, ["a", "b"], "left_anti"), "across"), texts, k, percent)
-    whole = components(links.union(more))
+    across = _across(named.select("band", "key", "node", "n", "component").join(mixed, ["band", "key"]), sigs, texts, k, percent)
+    whole = components(links.union(stage(across, "across")))
     of_fp = nodes.join(whole, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
     return rows.select("r", "id", "t1", "t2", "n", "fp").join(of_fp, "fp", "left").drop("fp")
 
