@@ -82,12 +82,16 @@ class Model:
     @property
     def rare_log(self) -> float:
         """log10 of the denominator among words that are no symbols."""
-        return log10(self.total - int(self.counts.sum()) + ALPHA * (self.distinct - len(self.symbols) + 1))
+        return log10(self.rest)
+
+    @property
+    def rest(self) -> float:
+        """Smoothed count of all words that are no symbols, unknown ones included."""
+        return self.total - int(self.counts.sum()) + ALPHA * (self.distinct - int((self.counts > 0).sum()) + 1)
 
     def unigram(self) -> np.ndarray:
         """Probabilities of the symbols and of all other words together."""
-        rest = self.total - self.counts.sum() + ALPHA * (self.distinct - len(self.symbols) + 1)
-        p = np.append(self.counts + ALPHA, rest)
+        p = np.append(self.counts + ALPHA, self.rest)
         return p / p.sum()
 
 
