@@ -84,12 +84,14 @@ def _contexts(docs: DataFrame, info: DataFrame, length: int) -> DataFrame:
 def _window_hashes(contexts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``row, offset, hash`` of every window of every context."""
     out: list[list[np.ndarray]] = [[], [], []]
-    for data, held in suffixes.parts(contexts, length):
+    # cut runs come without bytes
+    there = np.flatnonzero([len(c) >= length for c in contexts])
+    for data, held in suffixes.parts([contexts[i] for i in there], length):
         h = suffixes.Hashes(data).all_of(length).view(np.int64)
         piece = np.array(held, np.int64)
         counts = piece[:, 3] - length + 1
         offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        values = (np.repeat(piece[:, 0], counts), offset + np.repeat(piece[:, 1], counts), h[np.repeat(piece[:, 2], counts) + offset])
+        values = (np.repeat(there[piece[:, 0]], counts), offset + np.repeat(piece[:, 1], counts), h[np.repeat(piece[:, 2], counts) + offset])
         for o, v in zip(out, values, strict=True):
             o.append(v)
     row, offset, h = (np.concatenate(o) if o else np.zeros(0, np.int64) for o in out)
