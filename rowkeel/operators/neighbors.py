@@ -29,6 +29,9 @@ def _vectors(batch, name: str) -> np.ndarray:
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
     n = len(col)
+    lengths = np.unique(np.diff(col.offsets.to_numpy()))
+    if len(lengths) > 1:
+        raise ValueError(f"vectors of different lengths: {lengths.tolist()}")
     flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     m = flat.reshape(n, -1)
     return m / np.linalg.norm(m, axis=1, keepdims=True)
@@ -76,8 +79,9 @@ def _pair_table(q_ids, n_ids, sims) -> dict:
 
 
 def _prepared(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """Usable rows as ``(id, vec)``; a missing or zero vector has no direction."""
+    """Usable rows as ``(id, vec)``; a missing or zero vector, or one with a null, NaN or infinite element, has no direction."""
     sized = F.exists(vec_col, lambda v: v != 0)
+    sized &= F.forall(vec_col, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     return df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).alias("vec")).where(
         F.col("vec").isNotNull() & sized
     )

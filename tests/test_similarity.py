@@ -137,3 +137,13 @@ def test_lsh_finds_the_copies(spark, clustered):
     df = frame(spark, clustered)
     got = neighbors.knn_lsh(df, df, 2, block=32).where(F.col("query_id") >= 1000)
     assert got.where("similarity = 1.0").count() == 300
+
+
+def test_vectors_with_nan_or_null_elements_take_no_neighbour_away(spark):
+    rows = [(i, [float(i % 5 + 1), float(i), 1.0]) for i in range(20)]
+    odd = [(100, [float("nan"), 1.0, 1.0]), (101, [None, 1.0, 1.0]), (102, [float("inf"), 1.0, 1.0])]
+    clean = spark.createDataFrame(rows, "id long, embedding array<double>")
+    dirty = spark.createDataFrame(rows + odd, "id long, embedding array<double>")
+    want = sorted(map(tuple, neighbors.knn(clean, clean, 3).collect()))
+    assert sorted(map(tuple, neighbors.knn(dirty, dirty, 3).collect())) == want
+    assert sorted(map(tuple, neighbors.knn_by_cells(dirty, dirty, 3).collect())) == want
