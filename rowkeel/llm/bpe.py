@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +25,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowkeel.llm.common import pieces, table, text_of
+from rowkeel.llm.common import pieces, resident, table, text_of
 
-#: Words of the cache of one Python worker; it is emptied when full and changes no result.
-CACHE_WORDS = 400_000
+#: Words, and resolved table rows, that one Python worker keeps; they are forgotten when full, which changes no result.
+CACHE_WORDS, CACHE_ROWS = 150_000, 200_000
 
 #: The byte-level split. Letters come first because they are most frequent; no other part can start where they match.
 WORDS = r""" ?\p{L}++|'(?:s|t|re|ve|m|ll|d)| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s+(?!\S)|\s+"""
@@ -67,6 +66,7 @@ class Automaton:
             self.cuts[u, v] = k
             self.left[x], self.right[x] = (u, k), (v, k)
         self.rows: dict[int, bool] = {}
+        self.inside: dict[int, bool] = {}
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.labels |= {i: t.encode() for t, i in self.added.items()}
         self.apart = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
@@ -105,7 +105,7 @@ class Automaton:
                         break
                     v, closed_v = self.left.get(v, (None, 0))
                 u, closed_u = self.right.get(u, (None, 0))
-            if len(self.rows) > 2_000_000:
+            if len(self.rows) > CACHE_ROWS:
                 self.rows.clear()
             self.rows[state << 32 | label] = known
         return known
@@ -149,9 +149,14 @@ class Automaton:
             at += size[label]
         return out
 
-    @lru_cache(maxsize=None)  # noqa: B019  one automaton per worker, one entry per token
     def follows_inside(self, token: int) -> bool:
         """Whether a token's own bytes are read as this one token."""
+        known = self.inside.get(token)
+        if known is None:
+            known = self.inside[token] = self._reads_itself(token)
+        return known
+
+    def _reads_itself(self, token: int) -> bool:
         (u, k), (v, _) = self.left[token], self.right[token]
         for piece in (u, v):
             if piece in self.left and not self.follows_inside(piece):
@@ -201,10 +206,9 @@ class Automaton:
         return b"".join(map(self.labels.__getitem__, np.frombuffer(packed, "<u4").tolist())).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
 def compiled(source: str) -> Automaton:
-    """One automaton per worker process and vocabulary."""
-    return Automaton(source)
+    """The automaton of a vocabulary, kept by the worker process until another operator or vocabulary comes."""
+    return resident(("bpe", source), lambda: Automaton(source))
 
 
 def vocabulary(spark: SparkSession, path: str) -> Broadcast:
@@ -250,9 +254,23 @@ def decode(encoded: DataFrame, words: Broadcast) -> DataFrame:
 
 
 def digest(docs: DataFrame, path: str, keep: list[str], with_ids: bool = False) -> DataFrame:
-    """``keep`` columns, the number of tokens, digests of the ids and of the decoded text, and the packed ids where ``with_ids``."""
+    """``keep`` columns, the number of tokens, digests of the ids and of the decoded text, and the packed ids where ``with_ids``.
+
+    Both directions are one pass of one worker, which holds one automaton.
+    """
     words = vocabulary(docs.sparkSession, path)
-    both = decode(encode(docs, words, keep, packed=True), words)
+    schema = T.StructType([*docs.select(*keep).schema, T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = compiled(words.value)
+        for batch in pieces(batches, "__text"):
+            ids = [automaton.packed(t) for t in batch.column("__text").to_pylist()]
+            texts = [automaton.text(b) for b in ids]
+            own = [n for n in batch.schema.names if n != "__text"]
+            columns = [*(batch.column(n) for n in own), pa.array(ids, pa.binary()), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*own, "ids", "decoded"])
+
+    both = docs.select(*keep, text_of().alias("__text")).mapInArrow(run, schema)
     return both.select(
         *keep,
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

@@ -63,6 +63,29 @@ def tokens(text: str) -> list[bytes]:
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+_held: tuple = (None, None)
+
+
+def resident(key: tuple, make: Callable):
+    """What a worker process keeps between tasks: the tables of one operator at a time.
+
+    A worker serves one operator after another; without this, the tables of all of them would add up in its memory.
+    """
+    global _held
+    if _held[0] != key:
+        release()
+        _held = (key, make())
+    return _held[1]
+
+
+def release() -> None:
+    """Forget the tables of the last operator."""
+    global _held
+    if _held[0] is not None:
+        _held = (None, None)
+        pa.default_memory_pool().release_unused()
+
+
 def stage_once(df: DataFrame, label: str) -> DataFrame:
     """:func:`stage` for large shuffles: Spark drops their files when the table is written, not when memory is next collected."""
     conf = df.sparkSession.conf
@@ -92,6 +115,7 @@ def scored_by(make: Callable[[], Callable[[list[str]], np.ndarray]]) -> Callable
 
     @F.pandas_udf("double")
     def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        release()
         f = make()
         for part in parts:
             yield pd.Series(f(part.tolist()), dtype="float64")

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowkeel.llm.common import WORD, free_name, pieces, table, text_of, tokens
+from rowkeel.llm.common import WORD, free_name, pieces, resident, table, text_of, tokens
 from rowkeel.llm.graph import components
 from rowkeel.sources.staging import stage
 
@@ -50,9 +50,6 @@ class _Words(dict):
         return h
 
 
-_words = _Words()
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -64,7 +61,7 @@ def shingle_set(text: str, k: int) -> np.ndarray:
     words = tokens(text)
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(resident(("minhash",), _Words).__getitem__, words), np.uint64, len(words))
     n = min(k, len(h))
     out = np.full(len(h) - n + 1, n, np.uint64)
     for j in range(n):
