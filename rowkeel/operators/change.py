@@ -9,19 +9,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowkeel.functions.rows import content_key
-from rowkeel.operators.history import diff_snapshots
 from rowkeel.sources.staging import stage, stage_counted
 from rowkeel.spec import ForeignKey, Frames, Spec
 
 _ROW_BITS = 33
 
 
-def _one_per_key(df: DataFrame, key: list[str]) -> DataFrame:
-    """One row per key, the least by its other columns; rows with a NULL key never conflict and all stay."""
-    rest = [c for c in df.columns if c not in key]
+def _keyed(key: list[str]) -> Column:
     known = F.lit(True)
     for k in key:
         known = known & F.col(k).isNotNull()
+    return known
+
+
+def _one_per_key(df: DataFrame, key: list[str]) -> DataFrame:
+    """One row per key, the least by its other columns; rows with a NULL key never conflict and all stay."""
+    rest = [c for c in df.columns if c not in key]
+    known = _keyed(key)
     if not rest:
         return df.where(known).distinct().unionByName(df.where(~known))
     least = df.where(known).groupBy(*key).agg(F.min(F.struct(*rest)).alias("_r")).select(*key, "_r.*")
@@ -123,13 +127,18 @@ def classify_increment(batch: DataFrame, ledger: DataFrame, key: list[str], cont
     """``(key..., checksum, state)`` of a batch against the applied ledger.
 
     NEW is not in the ledger, SAME has its checksum, CHANGED has another one. The ledger holds
-    ``key`` and ``checksum``; only keys and checksums are shuffled.
+    ``key`` and ``checksum``; only keys and checksums are shuffled. A key that the batch repeats gives one row
+    per checksum; of a key that is not in the ledger the least checksum is NEW and the others are CHANGED. Rows with
+    a NULL key never conflict and are all NEW.
     """
     seen = ledger.select(*key, F.col("checksum").alias("_was"), F.lit(True).alias("_known"))
-    now = batch.select(*key, content_key(content).alias("checksum")).join(seen, key, "left")
+    hashed = batch.select(*key, content_key(content).alias("checksum"))
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy("checksum"))
+    once = hashed.where(_keyed(key)).distinct().withColumn("_nth", nth)
+    now = once.unionByName(hashed.where(~_keyed(key)).withColumn("_nth", F.lit(1))).join(seen, key, "left")
     state = (
-        F.when(F.col("_known").isNull(), "NEW")
-        .when(F.equal_null(F.col("_was"), F.col("checksum")), "SAME")
+        F.when(F.col("_known").isNull() & (F.col("_nth") == 1), "NEW")
+        .when(F.col("_known") & F.equal_null(F.col("_was"), F.col("checksum")), "SAME")
         .otherwise("CHANGED")
     )
     return now.select(*key, "checksum", state.alias("state"))
@@ -151,15 +160,17 @@ class IncrementResult:
 def apply_increment(
     batch: DataFrame, ledger: DataFrame, key: list[str], content: str, allow: bool = True
 ) -> IncrementResult:
-    """Only NEW records are applied; CHANGED ones are reported, never redone."""
+    """Only NEW records are applied, one per key; CHANGED ones are reported, never redone."""
     states = classify_increment(batch, ledger, key, content)
-    fresh = batch.join(ledger.select(*key), key, "left_anti").select(*batch.columns)
+    rest = [c for c in batch.columns if c not in key]
+    absent = batch.join(ledger.select(*key), key, "left_anti").select(*key, content_key(content).alias("_checksum"), *rest)
+    fresh = _one_per_key(absent, key)
     blocked = not allow and not fresh.isEmpty()
     if blocked:
         fresh = fresh.where(F.lit(False))
     return IncrementResult(
-        rows=fresh,
-        ledger=fresh.select(*key, content_key(content).alias("checksum")),
+        rows=fresh.select(*batch.columns),
+        ledger=fresh.select(*key, F.col("_checksum").alias("checksum")),
         changed=states.where(F.col("state") == "CHANGED"),
         blocked=blocked,
     )
@@ -188,8 +199,8 @@ def run_scrubs(
 ) -> tuple[Frames, list[ScrubOutcome]]:
     """Run the rules in order; each is written out whole before the next starts, a failure stops.
 
-    ``affected`` counts removed, changed and added rows: by primary key where ``spec`` gives one,
-    else by the row counts. ``place`` names the folder a changed table is written to.
+    ``affected`` counts removed, changed and added rows: by primary key where ``spec`` gives one, else the larger of
+    the rows lost and the rows gained. ``place`` names the folder a changed table is written to.
     """
     out = dict(frames)
     outcomes = []
@@ -200,18 +211,25 @@ def run_scrubs(
         for name in changed:
             written[name], got = stage_counted(result[name], "scrub", place(name) if place else None)
             if name in out:
-                outcomes.append(ScrubOutcome(rule.name, name, _affected(out[name], written[name], got["rows"], name, spec)))
+                outcomes.append(ScrubOutcome(rule.name, name, _affected(out[name], written[name], name, spec)))
             else:
                 outcomes.append(ScrubOutcome(rule.name, name, got["rows"]))
         out = {**result, **written}
     return out, outcomes
 
 
-def _affected(before: DataFrame, after: DataFrame, rows_after: int, name: str, spec: Spec | None) -> int:
+def _affected(before: DataFrame, after: DataFrame, name: str, spec: Spec | None) -> int:
+    """Keys and row hashes of both versions meet in one aggregation; whole rows are not shuffled."""
+    both = [c for c in before.columns if c in after.columns]
     key = list(spec.tables[name].primary_key) if spec is not None and name in spec.tables else []
-    if not key or before.columns != after.columns:
-        return abs(before.count() - rows_after)
-    return diff_snapshots(before, after, key).count()
+    key = key if set(key) <= set(both) else []
+    # the hash passes over nulls, so their places are hashed too
+    row = F.xxhash64(*both, *[F.col(c).isNull() for c in both]).alias("_row")
+    sides = before.select(*key, row, F.lit(-1).alias("_n")).union(after.select(*key, row, F.lit(1).alias("_n")))
+    moved = sides.groupBy(*key, "_row").agg(F.sum("_n").alias("_n")).where("_n <> 0")
+    gained, lost = F.sum(F.greatest("_n", F.lit(0))), F.sum(F.greatest(-F.col("_n"), F.lit(0)))
+    per_key = moved.groupBy(*key).agg(F.greatest(gained, lost).alias("_n"))
+    return per_key.agg(F.sum("_n")).first()[0] or 0
 
 
 __all__ = [

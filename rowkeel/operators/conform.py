@@ -67,6 +67,13 @@ def partial_rows(df: DataFrame, predicate: str) -> DataFrame:
     return df.where(F.expr(predicate))
 
 
+def partial_counts(df: DataFrame, predicates: list[str]) -> DataFrame:
+    """``(predicate, rows)``: the sizes of several partial indexes, counted in one scan."""
+    counts = df.agg(*[F.count_if(F.expr(p)).alias(f"_{i}") for i, p in enumerate(predicates)])
+    lines = [F.struct(F.lit(p).alias("predicate"), F.col(f"_{i}").alias("rows")) for i, p in enumerate(predicates)]
+    return counts.select(F.inline(F.array(*lines)))
+
+
 def _typed(raw: Column, have: T.DataType, c: ColumnSpec) -> Column:
     want = c.spark_type
     if have == want:

@@ -63,7 +63,31 @@ _DOC_LINE = _TAB.join(
     [_plain("doc_id"), _escaped("text"), _escaped("lang"), _escaped("source"), _plain("n_chars")]
 )
 
+
+
+def _decimal(column: str) -> str:
+    return _plain(f"CAST({column} AS DECIMAL(20,6))")
+
+
+def _moment(column: str) -> str:
+    return _plain(f"strftime({column}, '%Y-%m-%d %H:%M:%S.%f')")
+
+
+def _decimals(column: str) -> str:
+    return f"'[' || array_to_string(list_transform({column}, lambda x: CAST(CAST(x AS DECIMAL(20,6)) AS VARCHAR)), ',') || ']'"
+
+
 _DUMP_LINES = {
+    "customer": [_plain("c_custkey"), _escaped("c_name"), _plain("c_nationkey"), _decimal("c_acctbal"), _escaped("c_mktsegment")],
+    "supplier": [_plain("s_suppkey"), _escaped("s_name"), _plain("s_nationkey"), _decimal("s_acctbal")],
+    "part": [_plain("p_partkey"), *[_escaped(f"p_{c}") for c in ("name", "brand", "type")], _plain("p_size"), _decimal("p_retailprice")],
+    "orders": [_plain("o_orderkey"), _plain("o_custkey"), _escaped("o_orderstatus"), _decimal("o_totalprice"), _moment("o_orderdate"),
+               _escaped("o_orderpriority")],
+    "lineitem": [*[_plain(f"l_{c}") for c in ("orderkey", "partkey", "suppkey", "linenumber")],
+                 *[_decimal(f"l_{c}") for c in ("quantity", "extendedprice", "discount", "tax")],
+                 _escaped("l_returnflag"), _escaped("l_linestatus"), _moment("l_shipdate")],
+    "events": [_plain("event_id"), _moment("ts"), _plain("user_id"), _escaped("event_type"), _decimal("value"), _escaped("props")],
+    "embeddings": [_plain("vec_id"), _decimals("embedding"), _plain("label")],
     "region": [_plain("r_regionkey"), _escaped("r_name")],
     "nation": [_plain("n_nationkey"), _escaped("n_name"), _plain("n_regionkey")],
     "documents": [_DOC_LINE],
@@ -122,6 +146,16 @@ docs_after AS (
 
 _NEWLINES = "replace(text, chr(13) || chr(10), chr(10))"
 
+_REPEATING = (
+    _DOCS_AFTER
+    + f""",
+rows_ AS (
+  SELECT source, doc_id, text FROM docs_after
+  UNION ALL SELECT source, doc_id, text FROM documents WHERE doc_id % 5 = 0
+  UNION ALL SELECT source, doc_id, text || 'y' FROM documents WHERE doc_id % 7 = 0),
+batch AS (SELECT source, doc_id, sha256({_NEWLINES}) AS checksum FROM rows_)"""
+)
+
 _ASOF = """
 SELECT f.event_id, d.owner_id, d.label
 FROM (SELECT event_id, user_id, ts + INTERVAL 1 HOUR AS at FROM events) f
@@ -357,6 +391,19 @@ def oracle() -> dict[str, str]:
             UNION ALL SELECT 2, '0010-finished-orders', 'orders', 0
             UNION ALL SELECT 2, '0010-finished-orders', 'lineitem', 0
             UNION ALL SELECT 2, '0020-mask-names', 'customer', 0""",
+        "scrub_masked_lines": """
+            SELECT '0030-untaxed' AS rule, 'lineitem' AS table_name, count(*) AS affected
+            FROM lineitem WHERE l_returnflag = 'R' AND l_tax <> 0""",
+        "increment_repeated": f"""
+            WITH {_REPEATING.strip()}
+            SELECT source, doc_id, min(checksum) AS checksum FROM batch WHERE doc_id % 2 <> 0 GROUP BY 1, 2""",
+        "increment_repeated_changed": f"""
+            WITH {_REPEATING.strip()},
+            ledger AS (SELECT source, doc_id, sha256({_NEWLINES}) AS was FROM documents WHERE doc_id % 2 = 0),
+            low AS (SELECT source, doc_id, min(checksum) AS was FROM batch WHERE doc_id % 2 <> 0 GROUP BY 1, 2)
+            SELECT DISTINCT b.source, b.doc_id, b.checksum, 'CHANGED' AS state
+            FROM batch b JOIN (SELECT * FROM ledger UNION ALL SELECT * FROM low) l
+              ON l.source = b.source AND l.doc_id = b.doc_id AND l.was <> b.checksum""",
         "assign_ids": "SELECT 1000 + row_number() OVER (ORDER BY ts, event_id) AS row_id, event_id FROM events",
         "increment_classes": f"""
             WITH {_DOCS_AFTER.strip()},

@@ -99,8 +99,11 @@ def copy_roundtrip_differences(spark, sf):
 
 @query
 def manifest_totals(spark, sf):
-    """Rows and bytes of the dump of each text table."""
-    frames = star.load(spark, sf, "region", "nation", "documents", "pages", "benchmark", "labels", "conversations")
+    """Rows and bytes of the dump of each table; broken numbers are written with six decimals."""
+    frames = star.load(spark, sf)
+    plain = {"double": "decimal(20,6)", "array<float>": "array<decimal(20,6)>"}
+    for name, df in frames.items():
+        frames[name] = df.withColumns({c: F.col(c).cast(plain[kind]) for c, kind in df.dtypes if kind in plain})
     return _bare(manifest.build_manifest(frames).select("table_name", "rows", "bytes"))
 
 
@@ -187,11 +190,7 @@ def partial_predicates(spark, sf):
     items = star.table(spark, sf, "lineitem").withColumn("deleted_at", F.expr("if(l_tax > 0.05, l_shipdate, null)"))
     items = items.withColumn("is_open", F.col("l_linestatus") == "O")
     predicates = ["(deleted_at IS NULL)", "(l_returnflag = 'R')", "is_open", "((l_tax IS NOT NULL) AND (l_linenumber <> 4))"]
-    parts = [
-        conform.partial_rows(items, p).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(p).alias("predicate"), "rows")
-        for p in predicates
-    ]
-    return tables.union_all(parts)
+    return conform.partial_counts(items, predicates)
 
 
 @query
@@ -369,7 +368,7 @@ def partial_unique_violations(spark, sf):
 @query
 def key_audit_all(spark, sf):
     """A2: all primary and unique keys; NULL breaks a primary key only."""
-    frames = star.load(spark, sf, "orders", "lineitem", "customer")
+    frames = star.load(spark, sf)
     frames["main.orders"] = frames["main.orders"].withColumn(
         "o_orderkey", F.expr("if(o_orderkey % 100 = 0, null, o_orderkey)")
     )
@@ -474,6 +473,19 @@ def scrub_rules(spark, sf):
     return _bare(spark.createDataFrame(lines, "run int, rule string, table_name string, affected bigint"))
 
 
+@query
+def scrub_masked_lines(spark, sf):
+    """A rule that changes rows of a table without a key in place."""
+
+    def untaxed(frames: Frames) -> Frames:
+        tax = F.when(F.col("l_returnflag") == "R", F.lit(0.0)).otherwise(F.col("l_tax"))
+        return frames | {"main.lineitem": frames["main.lineitem"].withColumn("l_tax", tax)}
+
+    _, done = change.run_scrubs(star.load(spark, sf, "lineitem"), [change.ScrubRule("0030-untaxed", untaxed)], star.star_spec())
+    lines = [(o.name, o.table, o.affected) for o in done]
+    return _bare(spark.createDataFrame(lines, "rule string, table_name string, affected bigint"))
+
+
 @query
 def assign_ids(spark, sf):
     """Gap-free ids after the high-water mark, in event order."""
@@ -500,6 +512,26 @@ def increment_applied(spark, sf):
     return change.apply_increment(star.docs_after(docs), _ledger(docs), ["source", "doc_id"], "text").ledger
 
 
+def _repeating(docs: DataFrame) -> DataFrame:
+    """A batch that holds some records twice, and some twice with another content."""
+    edited = docs.where("doc_id % 7 = 0").withColumn("text", F.concat("text", F.lit("y")))
+    return star.docs_after(docs).unionByName(docs.where("doc_id % 5 = 0")).unionByName(edited)
+
+
+@query
+def increment_repeated(spark, sf):
+    """What a batch with repeated keys appends to the ledger, one row per key."""
+    docs = star.table(spark, sf, "documents")
+    return change.apply_increment(_repeating(docs), _ledger(docs), ["source", "doc_id"], "text").ledger
+
+
+@query
+def increment_repeated_changed(spark, sf):
+    """The other contents of repeated or known keys, reported and not applied."""
+    docs = star.table(spark, sf, "documents")
+    return change.apply_increment(_repeating(docs), _ledger(docs), ["source", "doc_id"], "text").changed
+
+
 @query
 def cascade_delete_counts(spark, sf):
     """The customers of one nation, their orders and lines."""

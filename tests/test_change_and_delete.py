@@ -46,6 +46,32 @@ def test_widgets_ledger(spark):
     assert rows(change.apply_increment(edited, ledger, key, "body").changed.select("name")) == [("0010-widgets",)]
 
 
+def test_repeated_keys_of_a_batch_are_applied_once(spark):
+    held = frame(spark, "kind string, name string, body string", [("k", "old", "1"), ("k", "edited", "1")])
+    ledger = held.select("kind", "name", content_key("body").alias("checksum"))
+    lines = [("k", "old", "1"), ("k", "old", "1"), ("k", "edited", "2"), ("k", "same", "3"), ("k", "same", "3"),
+             ("k", "two", "4"), ("k", "two", "5"), (None, "free", "6"), (None, "free", "6")]
+    batch = frame(spark, held.schema, lines)
+    got = change.apply_increment(batch, ledger, ["kind", "name"], "body")
+    assert sorted(r.name for r in got.rows.collect()) == ["free", "free", "same", "two"]
+    assert got.rows.columns == batch.columns and rows(got.ledger) == rows(got.rows.select("kind", "name", content_key("body")))
+    assert sorted(r.name for r in got.changed.collect()) == ["edited", "two"]
+
+
+def test_affected_rows_without_a_key(spark):
+    df = frame(spark, "a string, b string", [("x", None), ("y", "1"), ("y", "1"), ("z", "2")])
+
+    def affected(f):
+        return [o.affected for o in change.run_scrubs({"t": df}, [change.ScrubRule("r", lambda fs: {"t": f(fs["t"])})])[1]]
+
+    assert affected(lambda t: t.withColumn("b", F.when(F.col("a") == "y", "masked").otherwise(F.col("b")))) == [2]
+    assert affected(lambda t: t.where("a <> 'y'")) == [2]
+    assert affected(lambda t: t.unionByName(t.where("a = 'z'"))) == [1]
+    # a value that changes places with a null is a change
+    assert affected(lambda t: t.select(F.expr("if(a = 'x', b, a)").alias("a"), F.expr("if(a = 'x', a, b)").alias("b"))) == [1]
+    assert affected(lambda t: t.where("true")) == [0]
+
+
 def test_pending_keeps_what_is_not_in_the_ledger(spark):
     batch = frame(spark, "kind string, name string, body string", [("data", n, n) for n in "abc"] + [("seed", "a", "a")])
     ledger = batch.where("kind = 'data' and name in ('a', 'c')").select("kind", "name", content_key("body").alias("checksum"))
