@@ -8,11 +8,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowkeel.sources.staging import stage_counted
+from rowkeel.sources.staging import stage, stage_counted
 from rowkeel.sources.tables import union_all
 from rowkeel.spec import CASCADE, NO_ACTION, RESTRICT, SET_NULL, ForeignKey, Frames, Spec
 
 _REPORT_SCHEMA = "table_name string, action string, rows bigint"
+#: Parts of a table's deleted keys that are merged into one written table, so that plans do not grow with the rounds.
+_PARTS = 8
 
 
 @dataclass(frozen=True)
@@ -25,11 +27,17 @@ class DeleteResult:
 
 
 class _Doomed:
-    """Keys of deleted rows per table, one written part per round."""
+    """Keys of deleted rows per table, one written part per round; many parts are merged."""
 
     def __init__(self) -> None:
         self.parts: dict[str, list[DataFrame]] = defaultdict(list)
 
+    def add(self, name: str, keys: DataFrame) -> None:
+        parts = self.parts[name]
+        if len(parts) >= _PARTS:
+            parts[:] = [stage(union_all(list(parts)), "doomed")]
+        parts.append(keys)
+
     def keys(self, fk: ForeignKey) -> DataFrame | None:
         """Deleted parent keys, named like the child's columns."""
         parts = self.parts.get(fk.parent)
@@ -53,13 +61,22 @@ def _referenced_columns(spec: Spec, table: str) -> list[str]:
 
 
 def _mark(df: DataFrame, keys: list[tuple[str, ForeignKey, DataFrame]]) -> DataFrame:
-    """Add one boolean column per foreign key: does the row point at one of its keys?"""
+    """Add one boolean column per foreign key: does the row point at one of its keys?
+
+    The distinct keys are tables written by the caller (:func:`_written`): with a plain exchange on both sides adaptive
+    execution can split a key, or the NULLs, that hold a large share of the rows.
+    """
     for flag, fk, gone in keys:
-        hit = gone.distinct().withColumn(flag, F.lit(True))
+        hit = gone.withColumn(flag, F.lit(True))
         df = df.join(hit, list(fk.columns), "left").withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
     return df
 
 
+def _written(found: list[tuple[ForeignKey, DataFrame | None]]) -> list[tuple[ForeignKey, DataFrame]]:
+    """Each key's distinct deleted values, written once for the surviving rows and their counts."""
+    return [(fk, stage(keys.distinct(), "marks")) for fk, keys in found if keys is not None]
+
+
 def delete_where(frames: Frames, table: str, pred: str, spec: Spec) -> DeleteResult:
     """Delete the rows of ``table`` satisfying ``pred`` with every referential action.
 
@@ -91,7 +108,7 @@ def delete_where(frames: Frames, table: str, pred: str, spec: Spec) -> DeleteRes
     while frontier:
         before = doomed.copy()
         for name, keys in frontier.items():
-            doomed.parts[name].append(keys)
+            doomed.add(name, keys)
         found: dict[str, list[DataFrame]] = defaultdict(list)
         for name, keys in frontier.items():
             for fk in into[name]:
@@ -132,10 +149,8 @@ def delete_where(frames: Frames, table: str, pred: str, spec: Spec) -> DeleteRes
     out, reports = dict(frames), []
     for name in frames:
         own = root if name == table else None
-        gone_by = [(fk, doomed.keys(fk)) for fk in cascades[name]]
-        gone_by = [(fk, k) for fk, k in gone_by if k is not None]
-        null_by = [(fk, doomed.keys(fk)) for fk in fks if fk.child == name and fk.on_delete == SET_NULL]
-        null_by = [(fk, k) for fk, k in null_by if k is not None]
+        gone_by = _written([(fk, doomed.keys(fk)) for fk in cascades[name]])
+        null_by = _written([(fk, doomed.keys(fk)) for fk in fks if fk.child == name and fk.on_delete == SET_NULL])
         if own is None and not gone_by and not null_by:
             continue
         out[name] = _survivors(frames[name], own, gone_by, null_by)

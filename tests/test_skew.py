@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
-from rowkeel.operators import audit, change, history
+from rowkeel.operators import audit, change, history, referential
 from rowkeel.operators.referential import delete_where
-from rowkeel.spec import CASCADE, Column, ForeignKey, Spec, Table
+from rowkeel.spec import CASCADE, SET_NULL, Column, ForeignKey, Spec, Table
 
 SETTINGS = {
     "spark.sql.autoBroadcastJoinThreshold": "-1",
@@ -64,6 +66,33 @@ def test_hot_parents_of_a_delete_are_split(spark, frames, small_thresholds):
     assert left.count() == frames["s.child"].where("pid % 2 = 1").count()
 
 
+@pytest.mark.parametrize("hot", [7, None])
+def test_hot_keys_of_a_set_null_are_split(spark, frames, small_thresholds, hot):
+    """A third of the rows under one key, then a third of them NULL; in the rows and in the report."""
+    to_null = Spec.of(SPEC.tables.values(), [replace(SPEC.foreign_keys[0], on_delete=SET_NULL)])
+    key = F.when(F.col("pid") == 7, F.lit(hot).cast("bigint")).otherwise(F.col("pid"))
+    child = frames["s.child"].withColumn("pid", key)
+    done = delete_where({**frames, "s.child": child}, "s.parent", "id % 2 = 1", to_null)
+    for df in (done.frames["s.child"], done.report):
+        assert "skew=true" in final_plan(df)
+    assert done.frames["s.child"].where("pid % 2 = 0").count() == child.where("pid % 2 = 0").count()
+    assert done.frames["s.child"].where("pid is null").count() == child.where("pid is null or pid % 2 = 1").count()
+    counts = {r.action: r.rows for r in done.report.where("table_name = 's.child'").collect()}
+    assert counts == {"nulled": child.where("pid % 2 = 1").count()}
+
+
+def test_plans_do_not_grow_with_the_rounds_of_a_delete(spark, monkeypatch):
+    monkeypatch.setattr(referential, "_PARTS", 2)
+    chain = Spec.of(
+        [Table("s.link", (Column("id", "bigint"), Column("up", "bigint")), ("id",))],
+        [ForeignKey("s.link", ("up",), "s.link", ("id",), CASCADE)],
+    )
+    links = spark.range(1, 21).select("id", F.when(F.col("id") > 1, F.col("id") - 1).alias("up"))
+    done = delete_where({"s.link": links}, "s.link", "id = 8", chain)
+    assert sorted(r.id for r in done.frames["s.link"].collect()) == list(range(1, 8))
+    assert done.frames["s.link"]._jdf.queryExecution().analyzed().collectLeaves().size() <= 4
+
+
 def test_hot_keys_of_a_backfill_are_split(spark, frames, small_thresholds):
     target = frames["s.child"].withColumn("owner", F.lit(None).cast("bigint"))
     out = change.backfill(target, frames["s.parent"].withColumn("v", F.col("id") * 2), {"pid": "id"}, {"owner": "v"})
