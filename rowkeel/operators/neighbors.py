@@ -270,6 +270,16 @@ def _block_join(q: DataFrame, c: DataFrame, k: int, exclude_self: bool, block: i
     return split(q, "qp", "cp").groupBy(*keys).cogroup(split(c, "cp", "qp").groupBy(*keys)).applyInArrow(search, _PAIRS)
 
 
+def _spread(units: DataFrame) -> float:
+    """The root of the mean squared distance of unit vectors from their mean, for one of their dimensions."""
+    from pyspark.ml.stat import Summarizer
+
+    # one row of d variances
+    variance = units.select(Summarizer.variance(F.col("features")).alias("v")).first()["v"]
+    mean = float(np.mean(variance.toArray())) if variance is not None else 0.0
+    return mean**0.5 if mean > 0 else 1.0
+
+
 def knn_lsh(
     queries: DataFrame,
     corpus: DataFrame,
@@ -277,15 +287,18 @@ def knn_lsh(
     id_col: str = "id",
     vec_col: str = "embedding",
     exclude_self: bool = True,
-    bucket_length: float = 0.5,
-    tables: int = 8,
+    width: float = 2.0,
+    projections: int = 4,
+    tables: int = 20,
     seed: int = 17,
     block: int = 4096,
 ) -> DataFrame:
-    """Approximate k nearest rows: only rows sharing a random-projection bucket are compared.
+    """Approximate k nearest rows: only rows that share a random-projection bucket are compared.
 
-    The buckets come from ``pyspark.ml``; longer buckets or more tables raise the recall. Buckets
-    are searched in the same bounded blocks as the cells of the exact search.
+    A bucket is one cell of ``projections`` random projections together (all have to agree); ``tables`` such partitions are
+    searched (one has to agree). Cells are ``width`` times as wide as the measured spread of a projection. More tables or
+    wider cells raise the recall, more projections lower the number of compared pairs. Buckets are searched in the
+    same bounded blocks as the cells of the exact search.
     """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -297,13 +310,15 @@ def knn_lsh(
 
     q, c = unit(_prepared(queries, id_col, vec_col)), unit(_prepared(corpus, id_col, vec_col))
     lsh = BucketedRandomProjectionLSH(
-        inputCol="features", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed
+        inputCol="features", outputCol="hashes", bucketLength=width * _spread(c), numHashTables=tables * projections, seed=seed
     )
     model = lsh.fit(c)
 
     def buckets(df: DataFrame) -> DataFrame:
-        hashed = model.transform(df).select("id", "vec", F.posexplode("hashes").alias("t", "h"))
-        return hashed.select("id", "vec", F.xxhash64("t", F.get(vector_to_array("h"), F.lit(0))).alias("cell"))
+        floors = F.transform("hashes", lambda h: F.get(vector_to_array(h), F.lit(0)))
+        hashed = model.transform(df).select("id", "vec", floors.alias("floors"))
+        own = lambda t: F.xxhash64(t, F.slice("floors", t * projections + 1, projections))
+        return hashed.select("id", "vec", F.explode(F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), own)).alias("cell"))
 
     pairs = _block_join(buckets(q), stage(buckets(c), "corpus-buckets"), k, exclude_self, block)
     return _top(pairs.distinct(), k)

@@ -482,6 +482,10 @@ def oracle() -> dict[str, str]:
         "trigram_lookup": _TRIGRAM_LOOKUP,
         "knn_exact": _KNN,
         "knn_cells": _KNN,
+        "knn_dirty": f"""
+            WITH usable AS (SELECT * FROM embeddings WHERE vec_id % 10 NOT IN (1, 2, 3, 4)), found AS ({_KNN.replace("embeddings", "usable")})
+            SELECT found.*, way FROM found, (VALUES ('scan'), ('cells')) w(way)""",
+        "knn_lsh": f"SELECT count(*) AS true_pairs, TRUE AS exact_similarity, TRUE AS recall_reached FROM ({_KNN})",
         "restore_report": _restore_report(),
         "restored_totals": """
             SELECT table_name, measure, CAST(amount AS DOUBLE) AS amount FROM (

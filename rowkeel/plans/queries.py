@@ -718,11 +718,37 @@ def knn_cells(spark, sf):
     return neighbors.knn_by_cells(e, e, 5, "vec_id")
 
 
+@query
+def knn_dirty(spark, sf):
+    """Vectors with NaN, null, infinite or only zero elements take no neighbour away, on either way."""
+    e = star.table(spark, sf, "embeddings")
+    spoiled = {1: F.lit(float("nan")), 2: F.lit(None).cast("float"), 3: F.lit(float("-inf"))}
+    vec = F.when(F.col("vec_id") % 10 == 4, F.transform("embedding", lambda v: v * 0))
+    for rest, value in spoiled.items():
+        first = F.concat(F.array(value.cast("float")), F.slice("embedding", 2, 1 << 20))
+        vec = vec.when(F.col("vec_id") % 10 == rest, first)
+    e = e.withColumn("embedding", vec.otherwise(F.col("embedding")))
+    ways = {"scan": neighbors.knn(e, e, 5, "vec_id"), "cells": neighbors.knn_by_cells(e, e, 5, "vec_id")}
+    return tables.union_all([df.withColumn("way", F.lit(way)) for way, df in ways.items()])
+
+
 @query
 def knn_lsh(spark, sf):
-    """Approximate neighbours by random projections."""
+    """Approximate neighbours by random projections, held against the exact ones."""
     e = star.table(spark, sf, "embeddings")
-    return neighbors.knn_lsh(e, e, 5, "vec_id")
+    near = neighbors.knn_lsh(e, e, 5, "vec_id")
+    true = neighbors.knn(e, e, 5, "vec_id").select("query_id", "neighbor_id", F.lit(True).alias("true"))
+    v = e.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    cosine = dot(F.col("q"), F.col("n")) / F.sqrt(dot(F.col("q"), F.col("q")) * dot(F.col("n"), F.col("n")))
+    both = near.join(true, ["query_id", "neighbor_id"], "full_outer")
+    both = both.join(v.toDF("query_id", "q"), "query_id").join(v.toDF("neighbor_id", "n"), "neighbor_id")
+    found = F.col("rank").isNotNull()
+    return both.agg(
+        F.count_if("true").alias("true_pairs"),
+        F.coalesce(F.bool_and(F.when(found, F.abs(cosine - F.col("similarity")) < 1e-5)), F.lit(True)).alias("exact_similarity"),
+        (F.count_if(found & F.col("true")) >= 0.8 * F.count_if("true")).alias("recall_reached"),
+    )
 
 
 # --------------------------------------------------------------------------- restore

@@ -13,7 +13,7 @@ from rowkeel.plans.queries import registered
 
 QUERIES = registered()
 ORACLE = oracle()
-IN_PYTHON = {"knn_exact", "knn_cells", "knn_lsh"}
+IN_PYTHON = {"knn_exact", "knn_cells", "knn_dirty", "knn_lsh"}
 
 
 @pytest.fixture(scope="module")
@@ -21,9 +21,8 @@ def con(sf):
     return compare.connect(sf)
 
 
-def test_every_query_has_sql_but_the_approximate_one():
-    assert set(QUERIES) - set(ORACLE) == {"knn_lsh"}
-    assert set(ORACLE) <= set(QUERIES)
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLE)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
@@ -65,9 +64,3 @@ def test_filters_and_columns_reach_the_scan(spark, sf):
     plan = QUERIES["partial_unique_violations"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(l_returnflag,R)" in plan
     assert "l_extendedprice" not in plan
-
-
-def test_lsh_recall(spark, sf):
-    exact = {(r.query_id, r.neighbor_id) for r in QUERIES["knn_exact"](spark, sf).collect()}
-    near = {(r.query_id, r.neighbor_id) for r in QUERIES["knn_lsh"](spark, sf).collect()}
-    assert len(exact & near) / len(exact) > 0.8

@@ -139,6 +139,28 @@ def test_lsh_finds_the_copies(spark, clustered):
     assert got.where("similarity = 1.0").count() == 300
 
 
+def test_lsh_compares_a_small_share_of_well_spread_clusters(spark, monkeypatch):
+    """Candidates, repeats over tables included, stay below a tenth of what all tables together could compare."""
+    rng = np.random.default_rng(11)
+    centers = rng.normal(size=(40, 32))
+    rows = [(i, (centers[i % 40] + 0.02 * rng.normal(size=32)).tolist()) for i in range(1200)]
+    met = spark.sparkContext.accumulator(0)
+    best = neighbors._best
+
+    def counted(q_ids, q, c_ids, c, k, self_excluded):
+        met.add(len(q_ids) * len(c_ids))
+        return best(q_ids, q, c_ids, c, k, self_excluded)
+
+    monkeypatch.setattr(neighbors, "_best", counted)
+    df = frame(spark, rows)
+    near = {(r.query_id, r.neighbor_id) for r in neighbors.knn_lsh(df, df, 3).collect()}
+    monkeypatch.undo()
+    compared = met.value
+    exact = {(r.query_id, r.neighbor_id) for r in neighbors.knn(df, df, 3).collect()}
+    assert len(near & exact) / len(exact) > 0.9
+    assert 0 < compared < 0.1 * 20 * len(rows) ** 2
+
+
 def test_vectors_with_nan_or_null_elements_take_no_neighbour_away(spark):
     rows = [(i, [float(i % 5 + 1), float(i), 1.0]) for i in range(20)]
     odd = [(100, [float("nan"), 1.0, 1.0]), (101, [None, 1.0, 1.0]), (102, [float("inf"), 1.0, 1.0])]
