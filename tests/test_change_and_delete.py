@@ -21,17 +21,17 @@ def rows(df):
 
 
 def test_insert_absent_keeps_one_per_key_and_all_null_keys(spark):
-    target = frame(spark, "code string, label string, n int", [("A", "Anvil", 1), (None, "none", 2)])
-    source = frame(spark, "code string, label string", [("A", "x"), ("B", "z"), ("B", "y"), (None, "p"), (None, "q")])
+    target = frame(spark, "code string, label string, n int", [("r1", "Reed", 1), (None, "none", 2)])
+    source = frame(spark, "code string, label string", [("r1", "x"), ("B", "z"), ("B", "y"), (None, "p"), (None, "q")])
     got = change.insert_absent(target, source, ["code"], {"n": 50})
     assert rows(got) == rows(frame(spark, "code string, label string, n int",
-                                   [("A", "Anvil", 1), (None, "none", 2), ("B", "y", 50), (None, "p", 50), (None, "q", 50)]))
+                                   [("r1", "Reed", 1), (None, "none", 2), ("B", "y", 50), (None, "p", 50), (None, "q", 50)]))
     twice = change.insert_absent(got.where("code is not null"), source.where("code is not null"), ["code"], {"n": 50})
     assert twice.count() == 2
 
 
-def test_widgets_ledger(spark):
-    batch = frame(spark, "kind string, name string, body string", [("seed", "0010-widgets", "A Anvil\r\n")])
+def test_a_batch_is_applied_once_and_edits_are_reported(spark):
+    batch = frame(spark, "kind string, name string, body string", [("rates", "2031-spring", "5 of 100\r\n")])
     ledger = spark.createDataFrame([], "kind string, name string, checksum string")
     key = ["kind", "name"]
     held = change.apply_increment(batch, ledger, key, "body", allow=False)
@@ -43,7 +43,7 @@ def test_widgets_ledger(spark):
     assert second.rows.count() == 0 and not second.blocked
     assert rows(change.classify_increment(batch, ledger, key, "body").select("state")) == [("SAME",)]
     edited = batch.withColumn("body", F.lit("B"))
-    assert rows(change.apply_increment(edited, ledger, key, "body").changed.select("name")) == [("0010-widgets",)]
+    assert rows(change.apply_increment(edited, ledger, key, "body").changed.select("name")) == [("2031-spring",)]
 
 
 def test_repeated_keys_of_a_batch_are_applied_once(spark):
@@ -202,26 +202,26 @@ def test_a_delete_that_matches_nothing(spark):
 
 
 def test_seed_rows_with_computed_key_and_random_stamp(spark):
-    """Roles are added by their upper-cased name; existing ones keep their stamp."""
-    have = frame(spark, "name string, normalized_name string, stamp string", [("admin", "ADMIN", "old")])
-    wanted = frame(spark, "name string", [("Admin",), ("Office Manager",)]).withColumn("normalized_name", F.upper("name"))
-    got = change.insert_absent(have, wanted, ["normalized_name"], {"stamp": F.expr("uuid()")})
-    found = {r.normalized_name: (r.name, r.stamp) for r in got.collect()}
-    assert found["ADMIN"] == ("admin", "old")
-    assert found["OFFICE MANAGER"][0] == "Office Manager" and len(found["OFFICE MANAGER"][1]) == 36
-    again = change.insert_absent(got, wanted, ["normalized_name"], {"stamp": F.expr("uuid()")})
+    """Stations are added by their upper-cased name; existing ones keep their stamp."""
+    have = frame(spark, "name string, upper_name string, stamp string", [("Quay", "QUAY", "first")])
+    wanted = frame(spark, "name string", [("quay",), ("East Lock",)]).withColumn("upper_name", F.upper("name"))
+    got = change.insert_absent(have, wanted, ["upper_name"], {"stamp": F.expr("uuid()")})
+    found = {r.upper_name: (r.name, r.stamp) for r in got.collect()}
+    assert found["QUAY"] == ("Quay", "first")
+    assert found["EAST LOCK"][0] == "East Lock" and len(found["EAST LOCK"][1]) == 36
+    again = change.insert_absent(got, wanted, ["upper_name"], {"stamp": F.expr("uuid()")})
     assert again.count() == 2
 
 
-def test_default_channel_is_seeded_and_backfilled(spark):
-    """The default row is guaranteed, then rows without a channel point at it."""
-    channels = spark.createDataFrame([], "id bigint, code string, name string, is_default boolean")
-    assert audit_cardinality(channels, [], "is_default").first()["n"] == 0
-    seed = frame(spark, "id bigint, code string", [(1, "DIRECT")])
-    channels = change.insert_absent(channels, seed, ["code"], {"name": "Direct", "is_default": True})
-    assert audit_cardinality(channels, [], "is_default").count() == 0
-    sales = frame(spark, "id bigint, channel_id bigint", [(1, None), (2, 7)])
-    filled = sales.withColumn("_code", F.lit("DIRECT"))
-    filled = change.backfill(filled, channels, {"_code": "code"}, {"channel_id": "id"}).drop("_code")
+def test_a_default_row_is_added_and_backfilled(spark):
+    """The default row is guaranteed, then rows without a depot point at it."""
+    depots = spark.createDataFrame([], "id bigint, code string, name string, is_default boolean")
+    assert audit_cardinality(depots, [], "is_default").first()["n"] == 0
+    seed = frame(spark, "id bigint, code string", [(1, "main-depot")])
+    depots = change.insert_absent(depots, seed, ["code"], {"name": "Main depot", "is_default": True})
+    assert audit_cardinality(depots, [], "is_default").count() == 0
+    parcels = frame(spark, "id bigint, depot_id bigint", [(1, None), (2, 7)])
+    filled = parcels.withColumn("_code", F.lit("main-depot"))
+    filled = change.backfill(filled, depots, {"_code": "code"}, {"depot_id": "id"}).drop("_code")
     assert rows(filled) == [(1, 1), (2, 7)]
-    assert rows(change.backfill(filled.withColumn("_code", F.lit("DIRECT")), channels, {"_code": "code"}, {"channel_id": "id"}).drop("_code")) == rows(filled)
+    assert rows(change.backfill(filled.withColumn("_code", F.lit("main-depot")), depots, {"_code": "code"}, {"depot_id": "id"}).drop("_code")) == rows(filled)
