@@ -142,7 +142,10 @@ def restore(
 
         frames, report.scrubs = run_scrubs(frames, scrubs, spec, place)
         report.scrub_rules = [r.name for r in scrubs]
-        paths.update({n: p for n, p in fresh.items() if n in spec.tables})
+        unknown = sorted(set(fresh) - set(spec.tables))
+        if unknown:
+            raise ValueError(f"clean-up rules made tables that the specification lacks: {unknown}")
+        paths.update(fresh)
 
     # one row per violated foreign key of the specification
     report.orphans = [r.asDict() for r in audit_fks(frames, spec, names).collect()]
