@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -86,25 +87,31 @@ def release() -> None:
         pa.default_memory_pool().release_unused()
 
 
-def stage_once(df: DataFrame, label: str) -> DataFrame:
-    """:func:`stage` for large shuffles: Spark drops their files when the table is written, not when memory is next collected."""
-    conf = df.sparkSession.conf
-    before = conf.get(_CLEAN_UP, "false")
-    conf.set(_CLEAN_UP, "true")
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Spark drops the shuffle files of what runs inside when it has ended, not when memory is next collected."""
+    before = spark.conf.get(_CLEAN_UP, "false")
+    spark.conf.set(_CLEAN_UP, "true")
     try:
-        return stage(df, label)
+        yield
     finally:
-        conf.set(_CLEAN_UP, before)
+        spark.conf.set(_CLEAN_UP, before)
+
+
+def stage_once(df: DataFrame, label: str) -> DataFrame:
+    """:func:`stage` for large shuffles, which go when the table is written."""
+    with shuffles_dropped(df.sparkSession):
+        return stage(df, label)
 
 
 def hash_sample(df: DataFrame, rows: int, *key: str) -> DataFrame:
     """At most ``rows`` rows, those of the lowest hash of ``key``, one per hash.
 
-    Rows are counted first, so that only about twice as many as asked for are ever ordered.
+    Hashes are counted first, each once, so that only about twice as many rows as asked for are ever ordered.
     """
     h = free_name(df, "h")
-    n = df.count()
     hashed = df.withColumn(h, F.xxhash64(*key))
+    n = hashed.select(h).distinct().count()
     if n > 4 * rows:
         hashed = hashed.where(F.pmod(h, F.lit(1 << 40)) < int((1 << 40) * 2 * rows / n))
     return hashed.dropDuplicates([h]).orderBy(F.pmod(h, F.lit(1 << 40)), h).limit(rows).drop(h)

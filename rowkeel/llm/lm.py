@@ -4,8 +4,8 @@ Word counts of all training documents come first. Words that are frequent enough
 model's symbols; all others share one symbol and a smoothed distribution inside it, so that every word, known or not,
 has a probability. Latent states are trained by Baum-Welch: each task runs forward and backward over its documents with
 the current model and emits expected counts, Spark adds them up per symbol, the driver normalizes (its table is bounded
-by ``FREQUENT``). A first guess of the states comes from a bounded sample of short documents; every round after it covers
-all training documents. Scores are exact: the scaled forward recursion runs over each whole document.
+by ``FREQUENT``). The states start from a hash of each word, and every round covers all training documents. Scores are
+exact: the scaled forward recursion runs over each whole document.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from hashlib import shake_128
 from math import log10
 
 import numpy as np
@@ -23,14 +24,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowkeel.llm.common import hash_sample, pieces, table, text_of, tokens
+from rowkeel.llm.common import pieces, shuffles_dropped, table, text_of, tokens
 from rowkeel.llm.quality import remainder
 from rowkeel.sources.staging import stage
 
 #: Latent states, rounds over all training documents, most symbols, longest word that is a symbol.
-STATES, ROUNDS, FREQUENT, SYMBOL_BYTES = 8, 2, 1 << 16, 64
-#: The first guess: documents, their most bytes, rounds.
-SAMPLE_ROWS, SAMPLE_BYTES, SAMPLE_ROUNDS = 600, 8192, 25
+STATES, ROUNDS, FREQUENT, SYMBOL_BYTES = 8, 27, 1 << 16, 64
 #: Training runs over stretches of so many words, each document being cut into stretches from end to end; scoring does not cut.
 STRETCH = 512
 ALPHA = 0.1
@@ -134,23 +133,28 @@ class Lockstep:
         return out
 
     def expected(self, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected starts, moves, and the state weights of each symbol in step order (forward and backward)."""
+        """Expected starts, moves, and the state weights of each symbol in step order (forward and backward), a row per state."""
         k, n_all = len(model.start), len(self.symbols)
-        seen, ahead, scale = model.emit[self.symbols], np.empty((n_all, k)), np.empty(n_all)
+        seen, ahead, scale = np.take(model.emit.T, self.symbols, axis=1), np.empty((k, n_all)), np.empty(n_all)
+        a = np.repeat(model.start[:, None], self.active[0], axis=1)
         for t, n in enumerate(self.active):
             b = self.begin[t]
-            a = (model.start if t == 0 else ahead[self.begin[t - 1] : self.begin[t - 1] + n] @ model.move) * seen[b : b + n]
-            scale[b : b + n] = a.sum(axis=1)
-            ahead[b : b + n] = a / scale[b : b + n, None]
-        back = np.ones((n_all, k))
+            if t:
+                a = model.move.T @ ahead[:, self.begin[t - 1] : self.begin[t - 1] + n]
+            a *= seen[:, b : b + n]
+            scale[b : b + n] = a.sum(axis=0)
+            np.divide(a, scale[b : b + n], out=ahead[:, b : b + n])
+        moves, weights = np.zeros((k, k)), ahead.copy()
+        # what a step tells the one before it; at the last step of a sequence nothing follows
+        seen /= scale
         for t in range(len(self.active) - 2, -1, -1):
             n, b, c = self.active[t + 1], self.begin[t], self.begin[t + 1]
-            back[b : b + n] = (seen[c : c + n] * back[c : c + n] / scale[c : c + n, None]) @ model.move.T
-        gone = self.active[0]
-        before = np.arange(gone, n_all) - np.repeat(self.active[:-1], self.active[1:])
-        moves = model.move * (ahead[before].T @ (seen[gone:] * back[gone:] / scale[gone:, None]))
-        weights = ahead * back
-        return weights[:gone].sum(axis=0), moves, weights
+            told = seen[:, c : c + n]
+            moves += ahead[:, b : b + n] @ told.T
+            back = model.move @ told
+            weights[:, b : b + n] *= back
+            seen[:, b : b + n] *= back
+        return weights[:, : self.active[0]].sum(axis=1), model.move * moves, weights
 
 
 def _stretches(symbols: np.ndarray) -> list[np.ndarray]:
@@ -162,7 +166,7 @@ class Expected:
 
     def __init__(self, model: Model):
         self.model, k = model, len(model.start)
-        self.start, self.move, self.emit = np.zeros(k), np.zeros((k, k)), np.zeros((len(model.symbols) + 1, k))
+        self.start, self.move, self.emit = np.zeros(k), np.zeros((k, k)), np.zeros((k, len(model.emit)))
 
     def add(self, sequences: list[np.ndarray]) -> None:
         if not sequences:
@@ -171,11 +175,8 @@ class Expected:
         start, move, weights = steps.expected(self.model)
         self.start += start
         self.move += move
-        for k in range(len(start)):
-            self.emit[:, k] += np.bincount(steps.symbols, weights[:, k], len(self.emit))
-
-    def updated(self) -> Model:
-        return renewed(self.model, self.start, self.move, self.emit)
+        for own, w in zip(self.emit, weights, strict=True):
+            own += np.bincount(steps.symbols, w, len(own))
 
 
 def renewed(model: Model, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> Model:
@@ -187,41 +188,58 @@ def renewed(model: Model, start: np.ndarray, move: np.ndarray, emit: np.ndarray)
     return Model(model.symbols, model.counts, model.total, model.distinct, start, move, emit)
 
 
-def _groups(batches: Iterable[pa.RecordBatch], index: dict[bytes, int]) -> Iterator[list[np.ndarray]]:
+def encoded(docs: DataFrame, model: Model) -> DataFrame:
+    """``symbols`` of every stretch of all ``text`` of ``docs``: what the rounds read, so that words are looked up once."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, index = _index(sent)
+        for batch in pieces(batches, "text"):
+            found = [s for text in batch.column("text") for s in _stretches(symbols_of([*tokens(text.as_py()), END], index))]
+            ends = np.cumsum([0, *map(len, found)])
+            yield pa.record_batch([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found)))], names=["symbols"])
+
+    return docs.select(text_of().alias("text")).mapInArrow(run, "symbols array<int>")
+
+
+def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     group, size = [], 0
     for batch in batches:
-        for text in batch.column("text"):
-            s = symbols_of([*tokens(text.as_py()), END], index)
-            group += _stretches(s)
-            size += len(s)
+        column = batch.column("symbols")
+        flat, ends = column.values.to_numpy(), column.offsets.to_numpy()
+        for a, b in zip(ends[:-1], ends[1:], strict=True):
+            group.append(flat[a:b])
+            size += b - a
             if size > _TOKENS_AT_ONCE // 8:
                 yield group
                 group, size = [], 0
     yield group
 
 
-def baum_welch_round(docs: DataFrame, model: Model) -> Model:
-    """One round over all ``text`` of ``docs``: tasks emit expected counts per symbol, a shuffle adds them up."""
-    sent, k = docs.sparkSession.sparkContext.broadcast(model), len(model.start)
+def baum_welch_round(stretches: DataFrame, model: Model) -> Model:
+    """One round over all ``symbols`` of ``stretches``: tasks emit expected counts per symbol, a shuffle adds them up."""
+    spark, k, rows_of = stretches.sparkSession, len(model.start), len(model.emit)
+    # the words stay with the driver: the rounds read symbols
+    sent = spark.sparkContext.broadcast(Model([], model.counts[:0], 0, 0, model.start, model.move, model.emit))
     names = [f"s{i}" for i in range(k)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, index = _index(sent)
-        sums = Expected(own)
-        for group in _groups(batches, index):
+        sums = Expected(sent.value)
+        for group in _groups(batches):
             sums.add(group)
         # symbols first, then the start, then the moves
-        rows = np.concatenate([sums.emit, sums.start[None], sums.move])
+        rows = np.concatenate([sums.emit.T, sums.start[None], sums.move])
         used = np.flatnonzero(rows.any(axis=1))
         yield pa.record_batch([pa.array(used, pa.int32()), *(pa.array(rows[used, i]) for i in range(k))], names=["symbol", *names])
 
     schema = ", ".join(["symbol int", *(f"{n} double" for n in names)])
-    summed = docs.select(text_of().alias("text")).mapInArrow(run, schema).groupBy("symbol").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
-    rows = np.zeros((len(model.symbols) + 2 + k, k))
+    with shuffles_dropped(spark):
+        summed = stretches.mapInArrow(run, schema).groupBy("symbol").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
+    sent.destroy()
+    rows = np.zeros((rows_of + 1 + k, k))
     for i, n in enumerate(names):
         rows[summed["symbol"].to_numpy(), i] = summed[n].to_numpy()
-    cut = len(model.symbols) + 1
-    return renewed(model, rows[cut], rows[cut + 1 :], rows[:cut])
+    return renewed(model, rows[rows_of], rows[rows_of + 1 :], rows[:rows_of])
 
 
 def _symbol_table(counts: DataFrame) -> tuple[list[bytes], np.ndarray, int, int]:
@@ -245,36 +263,22 @@ def _symbol_table(counts: DataFrame) -> tuple[list[bytes], np.ndarray, int, int]
     return [w for w, _ in pairs], np.array([c for _, c in pairs], np.int64), total, distinct
 
 
-def first_guess(model: Model, texts: list[str], states: int = STATES, rounds: int = SAMPLE_ROUNDS, seed: int = 5) -> Model:
-    """Baum-Welch on a small sample from sticky states that each start from other documents."""
-    rng = np.random.default_rng(seed)
-    index = {w: i for i, w in enumerate(model.symbols)}
-    docs = [symbols_of([*tokens(t), END], index) for t in texts]
-    p = model.unigram()
-    emit = np.tile(p[:, None] * 20, (1, states))
-    for i, doc in enumerate(docs):
-        emit[:, i % states] += 0.5 * np.bincount(doc, minlength=len(p)) * rng.uniform(0.5, 1.5)
-    emit += p[:, None] * rng.uniform(0, 20, emit.shape)
+def first_states(model: Model, states: int = STATES) -> Model:
+    """Sticky states that a hash of each word draws apart: they start alike whatever the number and length of documents."""
+    drawn = np.frombuffer(b"".join(shake_128(w).digest(4 * states) for w in model.symbols), "<u4").reshape(-1, states) / 2**32
+    emit = model.unigram()[:, None] * np.exp(np.append(drawn - 0.5, np.zeros((1, states)), axis=0))
     move = np.full((states, states), 0.02 / max(1, states - 1)) + np.eye(states) * (0.98 - 0.02 / max(1, states - 1))
-    model = Model(model.symbols, model.counts, model.total, model.distinct, np.full(states, 1 / states), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
-    stretches = [s for d in docs for s in _stretches(d)]
-    for _ in range(rounds):
-        sums = Expected(model)
-        sums.add(stretches)
-        model = sums.updated()
-    return model
+    return Model(model.symbols, model.counts, model.total, model.distinct, np.full(states, 1 / states), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
 def train(docs: DataFrame, counts: DataFrame, rounds: int = ROUNDS) -> Model:
-    """The model of ``text`` of ``docs``, given their written :func:`count_words`."""
+    """The model of ``text`` of ``docs``, given their written :func:`count_words`; every round covers all of it."""
     symbols, c, total, distinct = _symbol_table(counts)
     k = np.ones(1)
-    model = Model(symbols, c, total, distinct, k, k[None], k[None])
-    short = docs.select(text_of().alias("text")).where(F.octet_length("text").between(1, SAMPLE_BYTES))
-    sample = [r.text for r in hash_sample(short, SAMPLE_ROWS, "text").collect()]
-    model = first_guess(model, sample)
+    model = first_states(Model(symbols, c, total, distinct, k, k[None], k[None]))
+    stretches = stage(encoded(docs, model), "stretches")
     for _ in range(rounds):
-        model = baum_welch_round(docs, model)
+        model = baum_welch_round(stretches, model)
     return model
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from rowkeel.llm import bpe, crosspolytope, lm, maxscore, minhash, mixing, quality, repeats, suffixes
+from rowkeel.llm import bpe, common, crosspolytope, lm, maxscore, minhash, mixing, quality, repeats, suffixes
 from rowkeel.llm.queries import ORACLE, QUERIES
 
 ODD = "doc_id long, text string, lang string, source string, n_chars long, row int, key string"
@@ -85,6 +85,34 @@ def test_hidden_markov_scores(spark):
         assert math.isclose(r.base_score, sum(math.log10(c[w] + 0.1) - bottom for w in words), rel_tol=1e-9)
 
 
+def test_states_are_learnt_from_long_documents_too(spark):
+    """Six topics with 30 words of their own and 30 that all share, a topic per document, no document under 8 KB."""
+    r = random.Random(4)
+    text = lambda t: " ".join(f"own{t}x{r.randrange(30)}" if r.random() < 0.4 else f"shared{r.randrange(30)}" for _ in range(1500))
+    docs = spark.createDataFrame([(i, text(i % 6)) for i in range(48)], "doc_id long, text string")
+    assert docs.where(F.octet_length("text") <= 8192).count() == 0
+    counts = lm.stage(lm.count_words(docs), "words")
+    rows = lm.score(docs, lm.train(docs, counts), counts, ["doc_id"]).collect()
+    # a model that knows the topic gains 0.4 * log10(6) a word
+    gain = sum(x.score - x.base_score for x in rows) / sum(x.n_tokens for x in rows)
+    assert gain > 0.8 * 0.4 * math.log10(6)
+
+
+def test_every_round_covers_all_documents(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "a b c " * (700 if i % 2 else 1)) for i in range(40)], "doc_id long, text string")
+    counts = lm.stage(lm.count_words(docs), "words")
+    words, covered = counts.agg(F.sum("c")).first()[0], []
+    renewed = lm.renewed
+    monkeypatch.setattr(lm, "renewed", lambda model, start, move, emit: (covered.append(emit.sum()), renewed(model, start, move, emit))[1])
+    lm.train(docs, counts)
+    assert len(covered) == 27 and np.allclose(covered, words)
+
+
+def test_hash_sample_with_repeated_keys(spark):
+    keys = spark.createDataFrame([(max(0, i - 10_000),) for i in range(10_200)], "key long")
+    assert common.hash_sample(keys, 20, "key").distinct().count() == 20
+
+
 def test_forward_is_the_sum_over_all_paths():
     rng = np.random.default_rng(1)
     soft = lambda *s: (x := rng.random(s)) / x.sum(axis=-1, keepdims=True)
