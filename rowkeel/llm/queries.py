@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rowkeel.llm import bpe, chat, crosspolytope, lm, maxscore, minhash, mixing, quality, repeats, secrets
+from rowkeel.llm import bpe, chat, crosspolytope, infill, leaks, lm, maxscore, minhash, mixing, quality, repeats, resample, secrets
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,9 @@ QUERIES = {
         crosspolytope.op8_crosspolytope,
         secrets.op9_secrets,
         chat.op10_chat,
+        infill.op11_infill,
+        leaks.op12_leaks,
+        resample.op13_resample,
     )
 }
 
@@ -24,4 +27,7 @@ ORACLE = {
     "op7_maxscore": maxscore.ORACLE,
     "op9_secrets": secrets.ORACLE,
     "op10_chat": chat.ORACLE,
+    "op11_infill": infill.ORACLE,
+    "op12_leaks": leaks.ORACLE,
+    "op13_resample": resample.ORACLE,
 }
