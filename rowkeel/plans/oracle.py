@@ -486,6 +486,16 @@ def oracle() -> dict[str, str]:
             WITH usable AS (SELECT * FROM embeddings WHERE vec_id % 10 NOT IN (1, 2, 3, 4)), found AS ({_KNN.replace("embeddings", "usable")})
             SELECT found.*, way FROM found, (VALUES ('scan'), ('cells')) w(way)""",
         "knn_lsh": f"SELECT count(*) AS true_pairs, TRUE AS exact_similarity, TRUE AS recall_reached FROM ({_KNN})",
+        "knn_graph": """
+            SELECT least(10, n - 1) * q AS true_pairs, TRUE AS exact_similarity, TRUE AS recall_reached, TRUE AS compared_sublinear
+            FROM (SELECT count(*) AS n, count(*) FILTER (vec_id % 100 = 0) AS q FROM embeddings)""",
+        "store_versions": """
+            WITH o AS (SELECT count(*) AS n, count(*) FILTER (o_orderstatus <> 'F') AS m FROM orders),
+            e AS (SELECT count(*) AS n, count(*) FILTER (event_type <> 'purchase') AS m FROM events), c AS (SELECT count(*) AS n FROM customer)
+            SELECT CAST(version AS INTEGER) AS version, table_name, row_count FROM (
+              SELECT unnest([1, 2, 3, 4, 5]) AS version, 'orders' AS table_name, unnest([n, m, m, m, n]) AS row_count FROM o
+              UNION ALL SELECT unnest([1, 2, 3, 4, 5]), 'events', unnest([n, n, m, m, n]) FROM e
+              UNION ALL SELECT unnest([1, 2, 3, 4, 5]), 'customer', unnest([n, n, n, 0, n]) FROM c)""",
         "restore_report": _restore_report(),
         "restored_totals": """
             SELECT table_name, measure, CAST(amount AS DOUBLE) AS amount FROM (

@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowkeel.functions import rows as fn
-from rowkeel.operators import audit, change, conform, history, neighbors, referential, similar
+from rowkeel.operators import audit, change, conform, graph_index, history, neighbors, referential, similar
 from rowkeel.plans import star
 from rowkeel.plans.check import audit_all
 from rowkeel.plans.restore import restore
-from rowkeel.plans.store import Store
+from rowkeel.plans.store import Conflict, Store
 from rowkeel.sources import copytext, manifest, tables
-from rowkeel.sources.staging import scratch_path
+from rowkeel.sources.staging import scratch_path, stage
 from rowkeel.spec import CASCADE, NO_ACTION, RESTRICT, SET_NULL, Check, Column, ForeignKey, Frames, Spec, Table, Unique
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -732,6 +732,11 @@ def knn_dirty(spark, sf):
     return tables.union_all([df.withColumn("way", F.lit(way)) for way, df in ways.items()])
 
 
+def _cosine(a, b):
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
+    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+
+
 @query
 def knn_lsh(spark, sf):
     """Approximate neighbours by random projections, held against the exact ones."""
@@ -739,8 +744,7 @@ def knn_lsh(spark, sf):
     near = neighbors.knn_lsh(e, e, 5, "vec_id")
     true = neighbors.knn(e, e, 5, "vec_id").select("query_id", "neighbor_id", F.lit(True).alias("true"))
     v = e.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    cosine = dot(F.col("q"), F.col("n")) / F.sqrt(dot(F.col("q"), F.col("q")) * dot(F.col("n"), F.col("n")))
+    cosine = _cosine(F.col("q"), F.col("n"))
     both = near.join(true, ["query_id", "neighbor_id"], "full_outer")
     both = both.join(v.toDF("query_id", "q"), "query_id").join(v.toDF("neighbor_id", "n"), "neighbor_id")
     found = F.col("rank").isNotNull()
@@ -751,6 +755,35 @@ def knn_lsh(spark, sf):
     )
 
 
+@query
+def knn_graph(spark, sf):
+    """Neighbours found by walking a graph index of all vectors, held against the exact ones.
+
+    The mean number of rows that a query is compared with stays below twenty times the root of their number.
+    """
+    e = star.table(spark, sf, "embeddings")
+    q = e.where("vec_id % 100 = 0")
+    found, walked = graph_index.search_graph(graph_index.build_graph(e, "vec_id"), q, 10, "vec_id", beam=24)
+    v = e.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    pairs = found.join(v.toDF("query_id", "q"), "query_id").join(v.toDF("neighbor_id", "n"), "neighbor_id")
+    parts = [
+        pairs.agg(F.bool_and(F.abs(_cosine(F.col("q"), F.col("n")) - F.col("similarity")) < 1e-5).alias("exact_similarity")),
+        graph_index.recall_of(found, neighbors.knn(q, e, 10, "vec_id")),
+        walked.agg(F.avg("compared").alias("compared")),
+        e.agg(F.count(F.lit(1)).alias("rows")),
+    ]
+    # one row each, laid over one another
+    laid = parts[0]
+    for p in parts[1:]:
+        laid = laid.unionByName(p, allowMissingColumns=True)
+    return laid.agg(*[F.max(c).alias(c) for c in laid.columns]).select(
+        "true_pairs",
+        F.coalesce("exact_similarity", F.lit(True)).alias("exact_similarity"),
+        (F.col("found_pairs") >= 0.9 * F.col("true_pairs")).alias("recall_reached"),
+        F.coalesce(F.col("compared") <= 20 * F.sqrt("rows"), F.lit(True)).alias("compared_sublinear"),
+    )
+
+
 # --------------------------------------------------------------------------- restore
 
 
@@ -781,6 +814,36 @@ def restored_totals(spark, sf):
     return _bare(tables.table_totals(store.frames(), {"main.orders": ["o_custkey"]}))
 
 
+@query
+def store_versions(spark, sf):
+    """Rows of the tables as of every version, after writers who started from the same one."""
+    kept = ("orders", "events", "customer")
+    store = Store(spark, f"{scratch_path(spark, 'versions')}/store", star.star_spec())
+    frames = star.load(spark, sf)
+    orders, events = frames["main.orders"], frames["main.events"]
+
+    def written(name: str, df: DataFrame) -> dict[str, str]:
+        path = store.new_path(f"main.{name}")
+        stage(df, path=path)
+        return {f"main.{name}": path}
+
+    first = store.publish({k: v for n in kept for k, v in written(n, frames[f"main.{n}"]).items()})
+    # two writers go on from there, each with a table of its own
+    store.publish(written("orders", orders.where("o_orderstatus <> 'F'")), base=first.number, reads=["main.customer"])
+    store.publish(written("events", events.where("event_type <> 'purchase'")), base=first.number)
+    try:
+        # a third one comes too late
+        store.publish(written("orders", orders.where("o_orderstatus = 'P'")), base=first.number)
+    except Conflict:
+        store.publish({}, ["main.customer"], note="emptied instead")
+    store.roll_back(first.number)
+    parts = []
+    for n in store.numbers():
+        now = store.frames(n)
+        parts.append(tables.table_totals({t: now[f"main.{t}"] for t in kept}).withColumn("version", F.lit(n)))
+    return tables.union_all(parts).select("version", "table_name", F.col("amount").cast("bigint").alias("row_count"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Foreign-key audit after the finished orders were dropped."""
     frames = star.load(spark, sf_dir)

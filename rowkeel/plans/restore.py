@@ -14,7 +14,7 @@ from rowkeel.functions.rows import name_matches
 from rowkeel.operators.audit import audit_fks, audit_keys
 from rowkeel.operators.change import ScrubOutcome, ScrubRule, run_scrubs
 from rowkeel.operators.conform import REASONS, align, annotate
-from rowkeel.plans.store import Store
+from rowkeel.plans.store import Conflict, Store
 from rowkeel.sources.copytext import text_columns
 from rowkeel.sources.manifest import (
     DumpedTable,
@@ -29,7 +29,7 @@ from rowkeel.sources.staging import scratch_path, stage, stage_counted, write_sm
 from rowkeel.sources.tables import empty_frame
 from rowkeel.spec import Frames
 
-EXIT_OK, EXIT_REJECTED_ROWS, EXIT_ORPHANS, EXIT_DAMAGED = 0, 2, 4, 5
+EXIT_OK, EXIT_REJECTED_ROWS, EXIT_ORPHANS, EXIT_DAMAGED, EXIT_CONFLICT = 0, 2, 4, 5, 6
 
 
 @dataclass
@@ -55,6 +55,7 @@ class RestoreReport:
     orphans: list[dict] = field(default_factory=list)
     key_violations: list[dict] = field(default_factory=list)
     damaged: list[str] = field(default_factory=list)
+    conflicts: list[str] = field(default_factory=list)
     specification_changed: bool = False
     published: bool = False
     exit_code: int = EXIT_OK
@@ -70,6 +71,7 @@ class RestoreReport:
         out += [("orphans", f"{o['child']}({o['child_columns']})->{o['parent']}", o["orphan_rows"]) for o in self.orphans]
         out += [("bad keys", f"{k['table_name']}({k['key_columns']})", k["bad_rows"]) for k in self.key_violations]
         out += [("damaged", n, 0) for n in self.damaged]
+        out += [("conflict", n, 0) for n in self.conflicts]
         return out
 
     def frame(self, spark: SparkSession) -> DataFrame:
@@ -97,9 +99,10 @@ def restore(
     the current ones; tables that reference a loaded one and are not loaded themselves are
     emptied; other excluded tables keep their content. Rows that do not fit fail the load, or
     are set aside with their reasons under ``quarantine``. Orphans hold the publication back unless
-    ``allow_orphans``.
+    ``allow_orphans``. So does another writer who meanwhile changed a table that was loaded or that the audits read.
     """
     spec = store.spec
+    base = store.version().number
     manifest = load_manifest(spark, dump).renamed(table_renames or {}, column_renames or {})
     report = RestoreReport(specification_changed=warn_on_fingerprint(manifest, spec))
 
@@ -125,7 +128,7 @@ def restore(
     if not quarantine and any(t.bad_rows for t in report.loaded):
         return _finish(spark, store, report, EXIT_REJECTED_ROWS)
 
-    frames: Frames = store.frames()
+    frames: Frames = store.frames(base)
     frames.update({n: empty_frame(spark, spec, n) for n in report.emptied})
     frames.update({n: store.open(n, p) for n, p in paths.items()})
     if check_keys:
@@ -152,7 +155,13 @@ def restore(
     if report.orphans and not allow_orphans:
         return _finish(spark, store, report, EXIT_ORPHANS)
     marks = {t.table: t.next_ids for t in report.loaded if t.next_ids}
-    store.publish(paths, set(report.emptied) - set(paths), marks)
+    written = set(paths) | set(report.emptied)
+    audited = {n for fk in spec.foreign_keys if written & {fk.child, fk.parent} for n in (fk.child, fk.parent)}
+    try:
+        store.publish(paths, set(report.emptied) - set(paths), marks, base, audited, f"restore of {dump}")
+    except Conflict as conflict:
+        report.conflicts = conflict.tables
+        return _finish(spark, store, report, EXIT_CONFLICT)
     report.published = True
     return _finish(spark, store, report, EXIT_OK)
 

@@ -13,7 +13,7 @@ from rowkeel.plans.queries import registered
 
 QUERIES = registered()
 ORACLE = oracle()
-IN_PYTHON = {"knn_exact", "knn_cells", "knn_dirty", "knn_lsh"}
+IN_PYTHON = {"knn_exact", "knn_cells", "knn_dirty", "knn_lsh", "knn_graph"}
 
 
 @pytest.fixture(scope="module")
