@@ -4,6 +4,6 @@ Tables are Spark DataFrames held in a ``Frames`` dictionary (``schema.table`` ->
 and described by one plain constraint specification (:mod:`rowkeel.spec`).
 """
 
-from rowkeel.spec import Check, Column, ForeignKey, Spec, Table, Unique
+from rowkeel.spec import Check, Column, ForeignKey, PolymorphicKey, Spec, Table, Unique
 
-__all__ = ["Check", "Column", "ForeignKey", "Spec", "Table", "Unique"]
+__all__ = ["Check", "Column", "ForeignKey", "PolymorphicKey", "Spec", "Table", "Unique"]

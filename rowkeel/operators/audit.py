@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass, replace
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,13 +14,13 @@ from pyspark.sql import types as T
 
 from rowkeel.sources.staging import stage
 from rowkeel.sources.tables import union_all
-from rowkeel.spec import ForeignKey, Frames, Spec
+from rowkeel.spec import Frames, PolymorphicKey, Spec
 
 _INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _PARENT_ROW = -1
 _SLOTS = 8
 _KEYS_SCHEMA = "table_name string, key_columns string, key_where string, bad_keys bigint, bad_rows bigint"
-_AUDIT_SCHEMA = "child string, child_columns string, parent string, orphan_rows bigint"
+_REFERENCES_SCHEMA = "constraint string, child string, child_columns string, parent string, parent_type string, orphan_rows bigint"
 
 
 def orphans(child: DataFrame, parent: DataFrame, columns: list[str], parent_columns: list[str]) -> DataFrame:
@@ -47,6 +50,20 @@ def _key_type(child: T.DataType, parent: T.DataType) -> str:
     return "string"
 
 
+@dataclass(frozen=True)
+class _Leg:
+    """One table that a key may point to; legs of a polymorphic key share its ``key`` and hold for one ``type`` each."""
+
+    constraint: str
+    child: str
+    columns: tuple[str, ...]
+    parent: str
+    parent_columns: tuple[str, ...]
+    shown: str
+    key: PolymorphicKey | None = None
+    type: str | None = None
+
+
 def audit_fks(frames: Frames, spec: Spec, loaded: Iterable[str] | None = None) -> DataFrame:
     """Every foreign key whose child was loaded, with its count of orphan rows where above 0.
 
@@ -55,52 +72,92 @@ def audit_fks(frames: Frames, spec: Spec, loaded: Iterable[str] | None = None) -
     type, keyed on (parent, value) and combined before its shuffle, then sees both the children
     and the parent of each value, so no join and no broadcast is needed.
     """
+    plain = replace(spec, polymorphic_keys=())
+    return audit_references(frames, plain, loaded).select("child", "child_columns", "parent", "orphan_rows")
+
+
+def audit_references(frames: Frames, spec: Spec, loaded: Iterable[str] | None = None) -> DataFrame:
+    """:func:`audit_fks` that names the constraint and also follows polymorphic keys:
+    ``(constraint, child, child_columns, parent, parent_type, orphan_rows)``.
+
+    A polymorphic key sends every row once, to the parent that its type names, whatever the number of types. ``parent_type`` is that
+    type, and NULL for a foreign key. Types that the specification does not know are reported with a NULL parent, one row per
+    type. Parents that are not among ``frames`` are not checked.
+    """
     wanted = set(frames) if loaded is None else set(loaded)
-    fks = [
-        fk for fk in spec.foreign_keys if fk.child in wanted and fk.child in frames and fk.parent in frames
+    legs = [
+        _Leg(fk.label, fk.child, fk.columns, fk.parent, fk.parent_columns, ",".join(fk.columns))
+        for fk in spec.foreign_keys
+        if fk.child in wanted and fk.child in frames and fk.parent in frames
+    ]
+    legs += [
+        _Leg(key.label, key.child, (key.id_column,), parent, (column,), f"{key.type_column},{key.id_column}", key, kind)
+        for key in spec.polymorphic_keys
+        for kind, parent, column in key.parents
+        if key.child in wanted and key.child in frames and parent in frames
     ]
-    if not fks:
+    if not legs:
         spark = next(iter(frames.values())).sparkSession
-        return spark.createDataFrame([], _AUDIT_SCHEMA)
+        return spark.createDataFrame([], _REFERENCES_SCHEMA)
 
-    types = {n: {f.name: f.dataType for f in frames[n].schema.fields} for fk in fks for n in (fk.child, fk.parent)}
-    by_type: dict[tuple[str, ...], list[ForeignKey]] = defaultdict(list)
-    for fk in fks:
-        sig = tuple(
-            _key_type(types[fk.child][c], types[fk.parent][p]) for c, p in zip(fk.columns, fk.parent_columns)
-        )
-        by_type[sig].append(fk)
-    return union_all([_audit_one_type(frames, group, sig) for sig, group in by_type.items()])
+    types = {n: {f.name: f.dataType for f in frames[n].schema.fields} for leg in legs for n in (leg.child, leg.parent)}
+    by_type: dict[tuple[str, ...], list[_Leg]] = defaultdict(list)
+    for leg in legs:
+        sig = tuple(_key_type(types[leg.child][c], types[leg.parent][p]) for c, p in zip(leg.columns, leg.parent_columns))
+        by_type[sig].append(leg)
+    # the unknown types of a key are looked for where its first leg is
+    first = {leg.key: sig for sig, group in reversed(by_type.items()) for leg in reversed(group) if leg.key}
+    return union_all([_audit_one_type(frames, group, sig, [k for k, s in first.items() if s == sig]) for sig, group in by_type.items()])
 
 
-def _audit_one_type(frames: Frames, fks: list[ForeignKey], sig: tuple[str, ...]) -> DataFrame:
+def _audit_one_type(frames: Frames, legs: list[_Leg], sig: tuple[str, ...], unknown: list[PolymorphicKey]) -> DataFrame:
     keys = [f"k{i}" for i in range(len(sig))]
-    places: dict[tuple[str, tuple[str, ...]], list[ForeignKey]] = defaultdict(list)
-    for fk in fks:
-        places[(fk.parent, fk.parent_columns)].append(fk)
+    places: dict[tuple[str, tuple[str, ...]], list[_Leg]] = defaultdict(list)
+    for leg in legs:
+        places[(leg.parent, leg.parent_columns)].append(leg)
 
     emitted: dict[str, list[Column]] = defaultdict(list)
-    owner: list[ForeignKey | None] = []
+    owner: list[_Leg | None] = []
+    by_kind: dict[PolymorphicKey, list[tuple[str, int, int]]] = defaultdict(list)
+    # only groups with polymorphic keys carry a type
+    kinds = ["kind"] if unknown else []
 
-    def entry(tag: int, slot: int, columns: tuple[str, ...]) -> Column:
-        values = [F.col(c).cast(t).alias(k) for c, t, k in zip(columns, sig, keys)]
-        return F.struct(F.lit(tag).alias("tag"), F.lit(slot).alias("slot"), *values)
+    def entry(tag: Column, slot: Column, values: Iterable[Column], kind: Column) -> Column:
+        named = [v.cast(t).alias(k) for v, t, k in zip(values, sig, keys)]
+        return F.struct(tag.alias("tag"), slot.alias("slot"), *named, *([kind.cast("string").alias("kind")] if kinds else []))
 
-    tag = 0
+    none, tag = F.lit(None), 0
     for (parent, parent_columns), members in places.items():
         for start in range(0, len(members), _SLOTS):
             chunk = members[start : start + _SLOTS]
-            emitted[parent].append(entry(tag, _PARENT_ROW, parent_columns))
-            for slot, fk in enumerate(chunk):
-                emitted[fk.child].append(entry(tag, slot, fk.columns))
+            emitted[parent].append(entry(F.lit(tag), F.lit(_PARENT_ROW), map(F.col, parent_columns), none))
+            for slot, leg in enumerate(chunk):
+                if leg.key:
+                    by_kind[leg.key].append((leg.type, tag, slot))
+                else:
+                    emitted[leg.child].append(entry(F.lit(tag), F.lit(slot), map(F.col, leg.columns), none))
             owner += chunk + [None] * (_SLOTS - len(chunk))
             tag += 1
 
+    for key, legs_of in by_kind.items():
+        # one row per child row, whatever the number of types
+        kind = F.col(key.type_column).cast("string")
+        place = lambda i: F.element_at(F.create_map(*[x for leg in legs_of for x in (F.lit(leg[0]), F.lit(leg[i]))]), kind)  # noqa: E731, B023
+        emitted[key.child].append(entry(place(1), place(2), [F.col(key.id_column)], none))
+    for key in unknown:
+        known = [F.lit(t) for t, _, _ in key.parents]
+        kind, there = F.col(key.type_column).cast("string"), F.col(key.id_column).isNotNull()
+        lost = ~kind.isin(*known) & there
+        emitted[key.child].append(entry(F.when(lost, F.lit(tag)), F.lit(0), [none] * len(sig), kind))
+        owner += [_Leg(key.label, key.child, (), "", (), f"{key.type_column},{key.id_column}", key)] + [None] * (_SLOTS - 1)
+        tag += 1
+
     values = union_all([frames[n].select(F.inline(F.array(*entries))) for n, entries in emitted.items()])
     width = min(_SLOTS, max(len(m) for m in places.values()))
+    whole = reduce(and_, [F.col(k).isNotNull() for k in keys])
     per_key = (
-        values.dropna(subset=keys)
-        .groupBy("tag", *keys)
+        values.where(F.col("tag").isNotNull() & (whole | F.col("kind").isNotNull()) if kinds else whole)
+        .groupBy("tag", *keys, *kinds)
         .agg(
             F.max(F.col("slot") == _PARENT_ROW).alias("found"),
             *[F.count_if(F.col("slot") == s).alias(f"n{s}") for s in range(width)],
@@ -109,20 +166,23 @@ def _audit_one_type(frames: Frames, fks: list[ForeignKey], sig: tuple[str, ...])
     )
     counts = F.array(*[F.struct(F.lit(s).alias("slot"), F.col(f"n{s}").alias("n")) for s in range(width)])
     totals = (
-        per_key.select("tag", F.inline(counts))
+        per_key.select("tag", *kinds, F.inline(counts))
         .where("n > 0")
-        .groupBy("tag", "slot")
+        .groupBy("tag", "slot", *kinds)
         .agg(F.sum("n").alias("orphan_rows"))
     )
     place = F.col("tag") * _SLOTS + F.col("slot")
 
-    def label(texts: list[str]) -> Column:
-        return F.get(F.array(*[F.lit(t) for t in texts]), place)
+    def label(text: Callable[[_Leg], str | None]) -> Column:
+        return F.get(F.array(*[F.lit(text(leg) if leg else None).cast("string") for leg in owner]), place)
 
+    kind = label(lambda leg: leg.type)
     return totals.select(
-        label([fk.child if fk else "" for fk in owner]).alias("child"),
-        label([",".join(fk.columns) if fk else "" for fk in owner]).alias("child_columns"),
-        label([fk.parent if fk else "" for fk in owner]).alias("parent"),
+        label(lambda leg: leg.constraint).alias("constraint"),
+        label(lambda leg: leg.child).alias("child"),
+        label(lambda leg: leg.shown).alias("child_columns"),
+        label(lambda leg: leg.parent or None).alias("parent"),
+        (F.coalesce(kind, F.col("kind")) if kinds else kind).alias("parent_type"),
         "orphan_rows",
     )
 

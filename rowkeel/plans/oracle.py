@@ -496,6 +496,21 @@ def oracle() -> dict[str, str]:
               SELECT unnest([1, 2, 3, 4, 5]) AS version, 'orders' AS table_name, unnest([n, m, m, m, n]) AS row_count FROM o
               UNION ALL SELECT unnest([1, 2, 3, 4, 5]), 'events', unnest([n, n, m, m, n]) FROM e
               UNION ALL SELECT unnest([1, 2, 3, 4, 5]), 'customer', unnest([n, n, n, 0, n]) FROM c)""",
+        "fk_audit_polymorphic": """
+            WITH c AS (SELECT * FROM customer WHERE c_custkey % 10 <> 0),
+            n AS (
+              SELECT CASE doc_id % 5 WHEN 0 THEN 'order' WHEN 1 THEN 'customer' WHEN 2 THEN 'part' WHEN 3 THEN 'Part' END AS t, n_chars AS i FROM documents
+              UNION ALL SELECT CASE o_orderstatus WHEN 'F' THEN 'customer' WHEN 'O' THEN 'supplier' ELSE 'ship' END, o_custkey FROM orders),
+            a AS (
+              SELECT t, 'orders' AS parent, i FROM n WHERE t = 'order' AND NOT EXISTS (FROM orders WHERE o_orderkey = i)
+              UNION ALL SELECT t, 'customer', i FROM n WHERE t = 'customer' AND NOT EXISTS (FROM c WHERE c_custkey = i)
+              UNION ALL SELECT t, 'part', i FROM n WHERE t = 'part' AND NOT EXISTS (FROM part WHERE p_partkey = i)
+              UNION ALL SELECT t, 'supplier', i FROM n WHERE t = 'supplier' AND NOT EXISTS (FROM supplier WHERE s_suppkey = i)
+              UNION ALL SELECT t, NULL, i FROM n WHERE t NOT IN ('order', 'customer', 'part', 'supplier'))
+            SELECT 'notes_entity' AS "constraint", 'notes' AS child, 'entity_type,entity_id' AS child_columns, parent, t AS parent_type, count(i) AS orphan_rows
+            FROM a GROUP BY parent, t HAVING count(i) > 0
+            UNION ALL SELECT 'orders_customer', 'orders', 'o_custkey', 'customer', NULL, count(*)
+            FROM orders WHERE NOT EXISTS (FROM c WHERE c_custkey = o_custkey) HAVING count(*) > 0""",
         "restore_report": _restore_report(),
         "restored_totals": """
             SELECT table_name, measure, CAST(amount AS DOUBLE) AS amount FROM (

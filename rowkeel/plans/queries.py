@@ -15,7 +15,7 @@ from rowkeel.plans.restore import restore
 from rowkeel.plans.store import Conflict, Store
 from rowkeel.sources import copytext, manifest, tables
 from rowkeel.sources.staging import scratch_path, stage
-from rowkeel.spec import CASCADE, NO_ACTION, RESTRICT, SET_NULL, Check, Column, ForeignKey, Frames, Spec, Table, Unique
+from rowkeel.spec import CASCADE, NO_ACTION, RESTRICT, SET_NULL, Check, Column, ForeignKey, Frames, PolymorphicKey, Spec, Table, Unique
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -339,6 +339,28 @@ def fk_orphans_one(spark, sf):
     return lost.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
 
 
+@query
+def fk_audit_polymorphic(spark, sf):
+    """Notes whose parent table depends on their type, audited together with a foreign key; unknown types are listed."""
+    frames = star.load(spark, sf)
+    frames["main.customer"] = frames["main.customer"].where("c_custkey % 10 <> 0")
+    kind = F.expr("CASE doc_id % 5 WHEN 0 THEN 'order' WHEN 1 THEN 'customer' WHEN 2 THEN 'part' WHEN 3 THEN 'Part' END")
+    notes = frames["main.documents"].select(kind.alias("entity_type"), F.col("n_chars").alias("entity_id"))
+    kind = F.expr("CASE o_orderstatus WHEN 'F' THEN 'customer' WHEN 'O' THEN 'supplier' ELSE 'ship' END")
+    notes = notes.unionByName(frames["main.orders"].select(kind.alias("entity_type"), F.col("o_custkey").alias("entity_id")))
+    key = PolymorphicKey(
+        "main.notes",
+        "entity_type",
+        "entity_id",
+        (("order", "main.orders", "o_orderkey"), ("customer", "main.customer", "c_custkey"), ("part", "main.part", "p_partkey"), ("supplier", "main.supplier", "s_suppkey")),
+        "notes_entity",
+    )
+    bought = ForeignKey("main.orders", ("o_custkey",), "main.customer", ("c_custkey",), name="orders_customer")
+    note = Table("main.notes", (Column("entity_type", "string"), Column("entity_id", "bigint")))
+    spec = Spec.of([*star.star_spec().tables.values(), note], [bought], [key])
+    return _bare(audit.audit_references({**frames, "main.notes": notes}, spec))
+
+
 @query
 def fk_audit_all(spark, sf):
     """Every foreign key of the specification in one pass."""

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from rowkeel.functions.rows import name_matches
-from rowkeel.operators.audit import audit_fks, audit_keys
+from rowkeel.operators.audit import audit_keys, audit_references
 from rowkeel.operators.change import ScrubOutcome, ScrubRule, run_scrubs
 from rowkeel.operators.conform import REASONS, align, annotate
 from rowkeel.plans.store import Conflict, Store
@@ -68,7 +68,8 @@ class RestoreReport:
         out += [("missing", n, 0) for n in self.missing]
         out += [("emptied", n, 0) for n in self.emptied]
         out += [("scrubbed", f"{s.name}:{s.table}", s.affected) for s in self.scrubs]
-        out += [("orphans", f"{o['child']}({o['child_columns']})->{o['parent']}", o["orphan_rows"]) for o in self.orphans]
+        to = lambda o: o["parent"] or f"unknown type {o['parent_type']}"
+        out += [("orphans", f"{o['child']}({o['child_columns']})->{to(o)}", o["orphan_rows"]) for o in self.orphans]
         out += [("bad keys", f"{k['table_name']}({k['key_columns']})", k["bad_rows"]) for k in self.key_violations]
         out += [("damaged", n, 0) for n in self.damaged]
         out += [("conflict", n, 0) for n in self.conflicts]
@@ -150,13 +151,14 @@ def restore(
             raise ValueError(f"clean-up rules made tables that the specification lacks: {unknown}")
         paths.update(fresh)
 
-    # one row per violated foreign key of the specification
-    report.orphans = [r.asDict() for r in audit_fks(frames, spec, names).collect()]
+    # one row per violated key of the specification, and per unknown type
+    report.orphans = [r.asDict() for r in audit_references(frames, spec, names).collect()]
     if report.orphans and not allow_orphans:
         return _finish(spark, store, report, EXIT_ORPHANS)
     marks = {t.table: t.next_ids for t in report.loaded if t.next_ids}
     written = set(paths) | set(report.emptied)
-    audited = {n for fk in spec.foreign_keys if written & {fk.child, fk.parent} for n in (fk.child, fk.parent)}
+    linked = [{fk.child, fk.parent} for fk in spec.foreign_keys] + [{k.child, p} for k in spec.polymorphic_keys for _, p, _ in k.parents]
+    audited = set().union(*(pair for pair in linked if written & pair))
     try:
         store.publish(paths, set(report.emptied) - set(paths), marks, base, audited, f"restore of {dump}")
     except Conflict as conflict:

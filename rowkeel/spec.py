@@ -71,6 +71,24 @@ class ForeignKey:
         return self.name or f"{self.child}({','.join(self.columns)})->{self.parent}"
 
 
+@dataclass(frozen=True)
+class PolymorphicKey:
+    """``child(type_column, id_column)`` names a row of the table that belongs to its type, unless either part is NULL.
+
+    ``parents`` has ``(type, table, key column)`` for every known type; types are compared as they are, case included.
+    """
+
+    child: str
+    type_column: str
+    id_column: str
+    parents: tuple[tuple[str, str, str], ...]
+    name: str | None = None
+
+    @property
+    def label(self) -> str:
+        return self.name or f"{self.child}({self.type_column},{self.id_column})"
+
+
 @dataclass(frozen=True)
 class Table:
     name: str
@@ -103,18 +121,25 @@ class Table:
 class Spec:
     tables: dict[str, Table]
     foreign_keys: tuple[ForeignKey, ...] = field(default_factory=tuple)
+    polymorphic_keys: tuple[PolymorphicKey, ...] = field(default_factory=tuple)
 
     @classmethod
-    def of(cls, tables: Iterable[Table], foreign_keys: Iterable[ForeignKey] = ()) -> Spec:
+    def of(cls, tables: Iterable[Table], foreign_keys: Iterable[ForeignKey] = (), polymorphic_keys: Iterable[PolymorphicKey] = ()) -> Spec:
         by_name = {t.name: t for t in tables}
-        fks = tuple(foreign_keys)
+        fks, pks = tuple(foreign_keys), tuple(polymorphic_keys)
+        for pk in pks:
+            if len({t for t, _, _ in pk.parents}) < len(pk.parents):
+                raise ValueError(f"{pk.label}: a type names two parents")
+            for name in (pk.child, *(p for _, p, _ in pk.parents)):
+                if name not in by_name:
+                    raise ValueError(f"{pk.label}: unknown table {name}")
         for fk in fks:
             if len(fk.columns) != len(fk.parent_columns):
                 raise ValueError(f"{fk.label}: child and parent key widths differ")
             for name in (fk.child, fk.parent):
                 if name not in by_name:
                     raise ValueError(f"{fk.label}: unknown table {name}")
-        return cls(by_name, fks)
+        return cls(by_name, fks, pks)
 
     def into(self, parent: str) -> list[ForeignKey]:
         return [fk for fk in self.foreign_keys if fk.parent == parent]
