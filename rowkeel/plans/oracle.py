@@ -164,6 +164,14 @@ JOIN (SELECT user_id, ts AS valid_from, event_id AS owner_id, event_type AS labe
       FROM events) d
   ON d.user_id = f.user_id AND d.valid_from <= f.at AND (d.valid_to IS NULL OR f.at < d.valid_to)"""
 
+_RANGES = """
+WITH v AS (
+  SELECT user_id, ts AS valid_from, CASE WHEN event_id % 101 <> 0 THEN ts + to_hours(CAST(floor(value) AS INTEGER)) END AS valid_to FROM events),
+d AS (
+  SELECT user_id, valid_from AS f, coalesce(valid_to, TIMESTAMP 'infinity') AS t, count(*) AS n FROM v
+  WHERE user_id IS NOT NULL AND (valid_to IS NULL OR valid_from < valid_to) GROUP BY ALL),
+w AS (SELECT *, max(t) OVER (PARTITION BY user_id ORDER BY f, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM d)"""
+
 _KNN = """
 SELECT query_id, neighbor_id, similarity, CAST(rank AS INTEGER) AS rank FROM (
   SELECT q.vec_id AS query_id, c.vec_id AS neighbor_id,
@@ -511,6 +519,16 @@ def oracle() -> dict[str, str]:
             FROM a GROUP BY parent, t HAVING count(i) > 0
             UNION ALL SELECT 'orders_customer', 'orders', 'o_custkey', 'customer', NULL, count(*)
             FROM orders WHERE NOT EXISTS (FROM c WHERE c_custkey = o_custkey) HAVING count(*) > 0""",
+        "range_overlaps": f"""
+            {_RANGES}
+            SELECT user_id, 'overlap' AS kind, f AS starts_at, nullif(least(t, reach), TIMESTAMP 'infinity') AS ends_at, n AS ranges FROM w WHERE f < reach
+            UNION ALL SELECT user_id, 'overlap', f, nullif(t, TIMESTAMP 'infinity'), n - 1 FROM w WHERE n > 1 AND NOT coalesce(f < reach, FALSE)
+            UNION ALL SELECT user_id, 'gap', reach, f, 0 FROM w WHERE reach < f
+            UNION ALL SELECT user_id, 'empty', valid_from, valid_to, count(*) FROM v WHERE valid_from >= valid_to GROUP BY ALL""",
+        "range_coverage": f"""
+            {_RANGES},
+            g AS (SELECT *, count(*) FILTER (reach IS NULL OR reach < f) OVER (PARTITION BY user_id ORDER BY f, t) AS run FROM w)
+            SELECT user_id, min(f) AS valid_from, nullif(max(t), TIMESTAMP 'infinity') AS valid_to, CAST(sum(n) AS BIGINT) AS ranges FROM g GROUP BY user_id, run""",
         "restore_report": _restore_report(),
         "restored_totals": """
             SELECT table_name, measure, CAST(amount AS DOUBLE) AS amount FROM (

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowkeel.functions import rows as fn
-from rowkeel.operators import audit, change, conform, graph_index, history, neighbors, referential, similar
+from rowkeel.operators import audit, change, conform, graph_index, history, neighbors, ranges, referential, similar
 from rowkeel.plans import star
 from rowkeel.plans.check import audit_all
 from rowkeel.plans.restore import restore
@@ -700,6 +700,18 @@ def asof_resolve(spark, sf):
     return found.select("event_id", "owner_id", "label")
 
 
+@query
+def range_overlaps(spark, sf):
+    """Overlaps, gaps and empty ranges among the validity ranges of every user."""
+    return ranges.audit_ranges(star.validity(star.table(spark, sf, "events")), ["user_id"], "valid_from", "valid_to")
+
+
+@query
+def range_coverage(spark, sf):
+    """The time that the validity ranges of every user hold together."""
+    return ranges.covered(star.validity(star.table(spark, sf, "events")), ["user_id"], "valid_from", "valid_to")
+
+
 @query
 def asof_resolve_split(spark, sf):
     """The same with every busy user split by time."""
