@@ -529,6 +529,12 @@ def oracle() -> dict[str, str]:
             {_RANGES},
             g AS (SELECT *, count(*) FILTER (reach IS NULL OR reach < f) OVER (PARTITION BY user_id ORDER BY f, t) AS run FROM w)
             SELECT user_id, min(f) AS valid_from, nullif(max(t), TIMESTAMP 'infinity') AS valid_to, CAST(sum(n) AS BIGINT) AS ranges FROM g GROUP BY user_id, run""",
+        "deep_cascade_counts": """
+            WITH RECURSIVE gone(k) AS (
+              SELECT o_orderkey FROM orders WHERE o_orderkey % 3000 = 100
+              UNION SELECT o_orderkey FROM orders JOIN gone ON o_orderkey - 1 = k AND o_orderkey % 1000 <> 0)
+            SELECT 'orders' AS table_name, 'deleted' AS action, count(*) AS rows FROM gone
+            UNION ALL SELECT 'lineitem', 'deleted', count(*) FROM lineitem WHERE l_orderkey IN (SELECT k FROM gone)""",
         "restore_report": _restore_report(),
         "restored_totals": """
             SELECT table_name, measure, CAST(amount AS DOUBLE) AS amount FROM (

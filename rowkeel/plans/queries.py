@@ -625,6 +625,16 @@ def self_cascade_counts(spark, sf):
     return _bare(referential.delete_where({"main.part": parts}, "main.part", "p_partkey = 1", spec).report)
 
 
+@query
+def deep_cascade_counts(spark, sf):
+    """Chains of a thousand orders, of which every third goes from its hundredth order on, with the lines of those orders."""
+    frames = star.load(spark, sf, "orders", "lineitem")
+    frames["main.orders"] = frames["main.orders"].withColumn("previous", F.expr("if(o_orderkey % 1000 = 0, null, o_orderkey - 1)"))
+    spec = star.spec_with_actions({("lineitem", "orders"): CASCADE})
+    spec = spec.with_foreign_keys([*spec.foreign_keys, ForeignKey("main.orders", ("previous",), "main.orders", ("o_orderkey",), CASCADE)])
+    return _bare(referential.delete_where(frames, "main.orders", "o_orderkey % 3000 = 100", spec).report)
+
+
 # --------------------------------------------------------------------------- history
 
 

@@ -225,3 +225,81 @@ def test_a_default_row_is_added_and_backfilled(spark):
     filled = change.backfill(filled, depots, {"_code": "code"}, {"depot_id": "id"}).drop("_code")
     assert rows(filled) == [(1, 1), (2, 7)]
     assert rows(change.backfill(filled.withColumn("_code", F.lit("main-depot")), depots, {"_code": "code"}, {"depot_id": "id"}).drop("_code")) == rows(filled)
+
+
+def _tree_spec(*extra, on_delete=CASCADE):
+    tables = [Table("t", tuple(Column(c, "int") for c in ("id", "up", "also", "o_id")), ("id",)), Table("o", (Column("id", "int"), Column("t_id", "int")), ("id",)), Table("x", (Column("id", "int"), Column("t_id", "int")), ("id",))]
+    return Spec.of(tables, [ForeignKey("t", ("up",), "t", ("id",), on_delete), *extra])
+
+
+def _tree(spark, rows, others=(), leaves=()):
+    return {
+        "t": spark.createDataFrame(rows, "id int, up int, also int, o_id int"),
+        "o": spark.createDataFrame(list(others), "id int, t_id int"),
+        "x": spark.createDataFrame(list(leaves), "id int, t_id int"),
+    }
+
+
+def test_a_chain_of_a_thousand_rows_takes_few_rounds(spark):
+    n = 1000
+    # two chains of that depth, of which one goes; a third of all rows hang on one row
+    rows = [(i, i - 1 if i % n else None, None, None) for i in range(2 * n)] + [(5000 + i, n - 1, None, None) for i in range(n)]
+    result = delete_where(_tree(spark, rows), "t", "id = 0", _tree_spec())
+    assert not result.blocked and result.rounds["t"] <= 12
+    assert {r.id for r in result.frames["t"].collect()} == set(range(n, 2 * n))
+    assert [tuple(r) for r in result.report.collect()] == [("t", "deleted", 2 * n)]
+
+
+def test_circles_of_rows_end(spark):
+    rows = [(1, 3, None, None), (2, 1, None, None), (3, 2, None, None), (4, 4, None, None), (5, 4, None, None), (6, 2, None, None), (7, None, None, None)]
+    result = delete_where(_tree(spark, rows), "t", "id = 2", _tree_spec())
+    assert {r.id for r in result.frames["t"].collect()} == {4, 5, 7}
+    result = delete_where(_tree(spark, rows), "t", "id = 4", _tree_spec())
+    assert {r.id for r in result.frames["t"].collect()} == {1, 2, 3, 6, 7}
+    assert delete_where(_tree(spark, rows), "t", "id = 99", _tree_spec()).report.count() == 0
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_two_keys_of_a_table_and_a_circle_of_tables(spark, seed):
+    rng = random.Random(seed)
+    n = 60
+    pick = lambda: rng.choice([None, None, *range(n)])
+    data = {
+        "t": [{"id": i, "up": pick(), "also": pick(), "o_id": pick()} for i in range(n)],
+        "o": [{"id": i, "t_id": pick()} for i in range(n)],
+        "x": [{"id": i, "t_id": pick()} for i in range(n)],
+    }
+    keys = [
+        ForeignKey("t", ("also",), "t", ("id",), CASCADE),
+        ForeignKey("o", ("t_id",), "t", ("id",), CASCADE),
+        ForeignKey("t", ("o_id",), "o", ("id",), CASCADE),
+        ForeignKey("x", ("t_id",), "t", ("id",), [CASCADE, SET_NULL, RESTRICT][seed % 3]),
+    ]
+    spec = _tree_spec(*keys)
+    frames = _tree(spark, *[[tuple(r.values()) for r in data[t]] for t in ("t", "o", "x")])
+    result = delete_where(frames, "t", "id < 2", spec)
+    gone, nulled, blocked = _simulate(data, spec, "t", {0, 1})
+    assert result.blocked is blocked
+    if not blocked:
+        assert {t: {r.id for r in result.frames[t].collect()} for t in data} == {t: {r["id"] for r in data[t]} - gone[t] for t in data}
+        assert {r.id for r in result.frames["x"].where("t_id IS NULL").collect()} == {r["id"] for r in data["x"] if r["id"] not in gone["x"] and (r["t_id"] is None or (r["id"], "t_id") in nulled.get("x", set()))}
+
+
+def test_restrict_looks_at_the_level_of_the_parent(spark):
+    rows = [(1, None, None, None), (2, 1, None, None), (3, 2, None, None)]
+    keys = [ForeignKey("o", ("t_id",), "t", ("id",), CASCADE), ForeignKey("x", ("id",), "o", ("id",), CASCADE), ForeignKey("x", ("t_id",), "t", ("id",), RESTRICT)]
+    spec = _tree_spec(*keys)
+    # row 7 of x goes at level 2 by way of o; its parent in t goes at level 2 or at level 1
+    late = _tree(spark, rows, [(7, 1)], [(7, 3)])
+    assert not delete_where(late, "t", "id = 1", spec).blocked
+    early = _tree(spark, rows, [(7, 1)], [(7, 2)])
+    result = delete_where(early, "t", "id = 1", spec)
+    assert result.blocked and [tuple(r) for r in result.report.collect()] == [("x", RESTRICT, 1)]
+
+
+def test_all_blocking_keys_are_counted_in_one_job(spark):
+    keys = [ForeignKey("o", ("t_id",), "t", ("id",), "NO ACTION"), ForeignKey("x", ("t_id",), "t", ("id",), RESTRICT)]
+    frames = _tree(spark, [(1, None, None, None)], [(1, 1), (2, 1)], [(1, 1)])
+    result = delete_where(frames, "t", "id = 1", _tree_spec(*keys))
+    assert sorted(map(tuple, result.report.collect())) == [("o", "NO ACTION", 2), ("x", RESTRICT, 1)]
+    assert result.frames is frames

@@ -7,7 +7,7 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
-from rowkeel.operators import audit, change, history, referential
+from rowkeel.operators import audit, change, history
 from rowkeel.operators.referential import delete_where
 from rowkeel.spec import CASCADE, SET_NULL, Column, ForeignKey, Spec, Table
 
@@ -81,8 +81,7 @@ def test_hot_keys_of_a_set_null_are_split(spark, frames, small_thresholds, hot):
     assert counts == {"nulled": child.where("pid % 2 = 1").count()}
 
 
-def test_plans_do_not_grow_with_the_rounds_of_a_delete(spark, monkeypatch):
-    monkeypatch.setattr(referential, "_PARTS", 2)
+def test_plans_do_not_grow_with_the_rounds_of_a_delete(spark):
     chain = Spec.of(
         [Table("s.link", (Column("id", "bigint"), Column("up", "bigint")), ("id",))],
         [ForeignKey("s.link", ("up",), "s.link", ("id",), CASCADE)],
