@@ -535,6 +535,10 @@ def oracle() -> dict[str, str]:
               UNION SELECT o_orderkey FROM orders JOIN gone ON o_orderkey - 1 = k AND o_orderkey % 1000 <> 0)
             SELECT 'orders' AS table_name, 'deleted' AS action, count(*) AS rows FROM gone
             UNION ALL SELECT 'lineitem', 'deleted', count(*) FROM lineitem WHERE l_orderkey IN (SELECT k FROM gone)""",
+        "snapshot_diff_digest": """
+            SELECT o_orderkey, 'DELETE' AS op, CAST(NULL AS VARCHAR) AS changed FROM orders WHERE o_orderkey < 9 AND o_orderkey % 500 <> 7
+            UNION ALL SELECT o_orderkey, 'UPDATE', 'o_totalprice' FROM orders WHERE o_orderkey % 500 = 7 AND o_totalprice IS NOT NULL
+            UNION ALL SELECT -3, 'INSERT', NULL FROM orders WHERE o_orderkey = 3""",
         "restore_report": _restore_report(),
         "restored_totals": """
             SELECT table_name, measure, CAST(amount AS DOUBLE) AS amount FROM (
