@@ -26,6 +26,32 @@ _FKS = [
 ]
 
 
+#: tables after the change that the kept counts follow
+_MUTATED = {
+    "customer": "(SELECT * FROM customer WHERE c_custkey % 17 <> 0)",
+    "orders": "(SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 1 THEN -o_custkey - 1 ELSE o_custkey END AS o_custkey FROM orders WHERE o_orderkey % 11 <> 0)",
+    "lineitem": "(SELECT * FROM lineitem WHERE l_orderkey % 22 <> 0)",
+    "labels": "(SELECT doc_id FROM labels UNION ALL SELECT doc_id FROM labels WHERE doc_id % 5 = 0 "
+    "UNION ALL SELECT -doc_id - 1 FROM labels WHERE doc_id % 5 = 0)",
+}
+_KEYS = {
+    "region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey",
+    "events": "event_id", "documents": "doc_id", "embeddings": "vec_id", "pages": "page_id", "benchmark": "item_id", "labels": "doc_id",
+    "conversations": "conv_id,turn",
+}
+
+
+def _key_counts(cut: dict[str, str]) -> str:
+    parts = []
+    for name, key in _KEYS.items():
+        empty = " OR ".join(f"{c} IS NULL" for c in key.split(","))
+        parts.append(
+            f"SELECT '{name}' AS table_name, '{key}' AS key_columns, CAST(NULL AS VARCHAR) AS key_where, count(*) AS bad_keys, CAST(sum(n) AS BIGINT) AS bad_rows "
+            f"FROM (SELECT {key}, count(*) AS n FROM {cut.get(name, name)} GROUP BY ALL HAVING count(*) > 1 OR {empty})"
+        )
+    return "SELECT * FROM (" + " UNION ALL ".join(parts) + ") t WHERE bad_keys > 0"
+
+
 def _fk_counts(cut: dict[str, str], only: set[str] | None = None) -> str:
     parts = []
     for child, c, parent, p in _FKS:
@@ -539,6 +565,8 @@ def oracle() -> dict[str, str]:
             SELECT o_orderkey, 'DELETE' AS op, CAST(NULL AS VARCHAR) AS changed FROM orders WHERE o_orderkey < 9 AND o_orderkey % 500 <> 7
             UNION ALL SELECT o_orderkey, 'UPDATE', 'o_totalprice' FROM orders WHERE o_orderkey % 500 = 7 AND o_totalprice IS NOT NULL
             UNION ALL SELECT -3, 'INSERT', NULL FROM orders WHERE o_orderkey = 3""",
+        "fk_audit_delta": _fk_counts(_MUTATED),
+        "key_audit_delta": _key_counts(_MUTATED),
         "restore_report": _restore_report(),
         "restored_totals": """
             SELECT table_name, measure, CAST(amount AS DOUBLE) AS amount FROM (

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowkeel.functions import rows as fn
-from rowkeel.operators import audit, change, conform, digests, graph_index, history, neighbors, ranges, referential, similar
+from rowkeel.operators import audit, change, conform, delta_audit, digests, graph_index, history, neighbors, ranges, referential, similar
 from rowkeel.plans import star
 from rowkeel.plans.check import audit_all
 from rowkeel.plans.restore import restore
@@ -367,6 +367,35 @@ def fk_audit_all(spark, sf):
     return _bare(audit.audit_fks(_with_removed_parents(spark, sf), star.star_spec()))
 
 
+def _mutated(spark, sf) -> tuple[delta_audit.KeyCounts, Frames, Frames, Frames]:
+    """Kept counts that followed a change of customers, orders, lines and labels, and the tables before, added and removed."""
+    frames = star.load(spark, sf)
+    kept = delta_audit.KeyCounts(spark, scratch_path(spark, "key-counts"), star.star_spec())
+    kept.create(frames)
+    removed = {"main.customer": frames["main.customer"].where("c_custkey % 17 = 0"), "main.orders": frames["main.orders"].where("o_orderkey % 11 = 0")}
+    removed["main.lineitem"] = frames["main.lineitem"].where("l_orderkey % 22 = 0")
+    twice = frames["main.labels"].where("doc_id % 5 = 0")
+    added = {"main.labels": twice.unionByName(twice.withColumn("doc_id", -F.col("doc_id") - 1))}
+    # an update is a removed and an added row
+    moved = frames["main.orders"].where("o_orderkey % 11 = 1")
+    removed["main.orders"] = removed["main.orders"].unionByName(moved)
+    added["main.orders"] = moved.withColumn("o_custkey", -F.col("o_custkey") - 1)
+    kept.apply(added, removed)
+    return kept, frames, added, removed
+
+
+@query
+def fk_audit_delta(spark, sf):
+    """Orphans after a change, from counts that followed it; the tables are not read again."""
+    return _bare(_mutated(spark, sf)[0].orphans())
+
+
+@query
+def key_audit_delta(spark, sf):
+    """A2: repeated keys after a change, from counts that followed it."""
+    return _bare(_mutated(spark, sf)[0].bad_keys())
+
+
 @query
 def fk_audit_loaded(spark, sf):
     """Only keys whose child was loaded count; a nullable key may be NULL."""
