@@ -84,3 +84,29 @@ def float_vector(text: Column | str) -> Column:
     parts = F.split(F.regexp_extract(text, r"^\s*\[(.*)\]\s*$", 1), ",")
     numbers = F.transform(parts, lambda p: F.trim(p).try_cast("float"))
     return F.when(text.rlike(r"^\s*\[.*\]\s*$") & F.forall(numbers, lambda v: v.isNotNull()), numbers)
+
+
+def uuid_text(value: Column) -> Column:
+    """The usual spelling of a UUID: lower case, five groups. Upper case, braces and other places of hyphens are understood; else NULL."""
+    groups = r"[0-9a-fA-F]{4}(-?[0-9a-fA-F]{4}){7}"
+    digits = F.lower(F.regexp_replace(value, "[-{}]", ""))
+    parts = [F.substring(digits, start, size) for start, size in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
+    return F.when(value.rlike(rf"^(?:{groups}|\{{{groups}\}})$"), F.concat_ws("-", *parts))
+
+
+def time_text(value: Column, zone: bool = False) -> Column:
+    """A time of day as ``HH:mm:ss`` with up to six decimals, from 00:00:00 to 24:00:00; with ``zone`` its offset follows. Else NULL."""
+    clock = r"(?:[01]\d|2[0-3]):[0-5]\d(?::[0-5]\d(?:\.\d{1,6})?)?|24:00(?::00(?:\.0{1,6})?)?"
+    offset = r"(?:[+-](?:0\d|1[0-5])(?::[0-5]\d(?::[0-5]\d)?)?|Z)" if zone else ""
+    bare = F.regexp_extract(value, r"^[\d:.]+", 0)
+    # decimals lose the zeros at their end, and the point with them where nothing is left
+    cut = F.regexp_replace(F.regexp_replace(bare, "0+$", ""), r"\.$", "")
+    whole = F.when(F.instr(bare, ".") > 0, cut).when(F.length(bare) == 5, F.concat(bare, F.lit(":00"))).otherwise(bare)
+    return F.when(value.rlike(rf"^(?:{clock}){offset}$"), F.concat(whole, F.substr(value, F.length(bare) + 1)))
+
+
+def exceeds_scale(raw: Column, kept: Column, scale: int) -> Column:
+    """Whether the number in the text ``raw`` has digits, other than zeros, beyond ``scale``, which ``kept`` has lost."""
+    beyond = raw.rlike(rf"\.\d{{{scale}}}\d*[1-9]")
+    scientific = raw.rlike("[eE]")
+    return F.when(scientific, raw.try_cast("double") != kept.cast("double")).otherwise(beyond)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowkeel.functions.rows import valid_json
+from rowkeel.functions.rows import exceeds_scale, time_text, uuid_text, valid_json
 from rowkeel.sources.copytext import decode_value
 from rowkeel.spec import Column as ColumnSpec
 from rowkeel.spec import Frames, Table
@@ -82,6 +82,8 @@ def _typed(raw: Column, have: T.DataType, c: ColumnSpec) -> Column:
         out = decode_value(raw, want)
     else:
         out = raw.try_cast(want)
+    if c.format is not None:
+        out = uuid_text(out) if c.format == "uuid" else time_text(out, c.format == "time zone")
     if c.max_chars is not None:
         # blanks beyond the limit are cut silently, anything else is a violation
         out = F.when(F.char_length(out) > c.max_chars, F.left(out, F.lit(c.max_chars))).otherwise(out)
@@ -89,7 +91,9 @@ def _typed(raw: Column, have: T.DataType, c: ColumnSpec) -> Column:
 
 
 def _reasons(raw: Column, typed: Column, c: ColumnSpec, not_null: bool) -> list[Column]:
-    found = [F.when(raw.isNotNull() & typed.isNull(), f"type:{c.name}")]
+    found = [F.when(raw.isNotNull() & typed.isNull(), f"{'format' if c.format else 'type'}:{c.name}")]
+    if c.exact and isinstance(c.spark_type, T.DecimalType):
+        found.append(F.when(exceeds_scale(raw.cast("string"), typed, c.spark_type.scale), f"scale:{c.name}"))
     if not_null:
         found.append(F.when(raw.isNull(), f"null:{c.name}"))
     if c.max_chars is not None:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from rowkeel.sources.staging import stage, stage_counted
 from rowkeel.sources.tables import union_all
-from rowkeel.spec import CASCADE, NO_ACTION, RESTRICT, SET_NULL, ForeignKey, Frames, Spec
+from rowkeel.spec import CASCADE, NO_ACTION, RESTRICT, SET_DEFAULT, SET_NULL, ForeignKey, Frames, Spec
 
 _FIXED = "SET NULL on a NOT NULL column"
 
@@ -111,6 +111,7 @@ def delete_where(frames: Frames, table: str, pred: str, spec: Spec) -> DeleteRes
 
     Only key columns are read until the surviving rows are made. RESTRICT counts rows that are not deleted at the level
     of their parent or before; NO ACTION counts what is left at the end; a row that is both nulled and deleted counts as deleted.
+    SET DEFAULT gives the column its default; whether that names a row is for an audit to say.
     Keys that are referred to are unique, as SQL asks for.
     """
     fks = [fk for fk in spec.foreign_keys if fk.child in frames and fk.parent in frames]
@@ -144,18 +145,27 @@ def delete_where(frames: Frames, table: str, pred: str, spec: Spec) -> DeleteRes
     if any(_may_forbid(fk, spec) for fk in marks):
         # a few rows per table
         counts = stage(counts, "counts")
-        forbidden = counts.where(~F.col("action").isin("deleted", "nulled"))
+        forbidden = counts.where(~F.col("action").isin("deleted", "nulled", "defaulted"))
         if not forbidden.isEmpty():
             return DeleteResult(frames, forbidden, True, rounds)
     out = dict(frames)
     for n in touched:
         by = lambda action: [(fk, marks[fk].drop("_level")) for fk in flagged[n] if fk.on_delete == action]  # noqa: E731, B023
-        out[n] = _survivors(frames[n], root if n == table else None, by(CASCADE), by(SET_NULL))
+        cleared = [*((fk, keys, {}) for fk, keys in by(SET_NULL)), *((fk, keys, _defaults(fk, spec)) for fk, keys in by(SET_DEFAULT))]
+        out[n] = _survivors(frames[n], root if n == table else None, by(CASCADE), cleared)
     return DeleteResult(out, counts, False, rounds)
 
 
+def _defaults(fk: ForeignKey, spec: Spec) -> dict[str, Column]:
+    found = [spec.tables[fk.child].column(c) for c in fk.columns]
+    return {c.name: F.lit(c.default).cast(c.spark_type) for c in found}
+
+
 def _may_forbid(fk: ForeignKey, spec: Spec) -> bool:
     """Whether rows that point at deleted ones may stop the delete."""
+    if fk.on_delete == SET_DEFAULT:
+        found = [spec.tables[fk.child].column(c) for c in fk.columns]
+        return any(c.default is None and not c.nullable for c in found)
     if fk.on_delete == SET_NULL:
         return not all(spec.tables[fk.child].column(c).nullable for c in fk.columns)
     return fk.on_delete in (RESTRICT, NO_ACTION)
@@ -218,12 +228,12 @@ def _survivors(df: DataFrame, own: Column | None, gone_by, null_by) -> DataFrame
     out = df if own is None else df.where(~own)
     for fk, keys in gone_by:
         out = out.join(keys, list(fk.columns), "left_anti")
-    flags = [(f"_null{i}", fk, keys) for i, (fk, keys) in enumerate(null_by)]
+    flags = [(f"_null{i}", fk, keys) for i, (fk, keys, _) in enumerate(null_by)]
     out = _mark(out, flags)
     cleared: dict[str, Column] = {}
-    for flag, fk, _ in flags:
+    for (flag, fk, _), (_, _, defaults) in zip(flags, null_by):
         for c in fk.columns:
-            cleared[c] = F.when(~F.col(flag), cleared.get(c, F.col(c)))
+            cleared[c] = F.when(~F.col(flag), cleared.get(c, F.col(c))).otherwise(defaults.get(c, F.lit(None)))
     return out.select(*[cleared[c].alias(c) if c in cleared else F.col(c) for c in df.columns])
 
 
@@ -238,18 +248,18 @@ def _counts(df: DataFrame, name: str, own: Column | None, fks: list[ForeignKey],
     none = F.lit(None).cast("int")
     level = F.least(F.col("_own"), none, *[up[fk] for fk in fks if fk.on_delete == CASCADE])
     stays = level.isNull()
-    nulled, forbidden = F.lit(False), defaultdict(list)
+    nulled, defaulted, forbidden = F.lit(False), F.lit(False), defaultdict(list)
     for fk in fks:
         hit = up[fk].isNotNull()
-        if fk.on_delete == SET_NULL:
-            nulled = nulled | hit
+        if fk.on_delete in (SET_NULL, SET_DEFAULT):
+            nulled, defaulted = (nulled | hit, defaulted) if fk.on_delete == SET_NULL else (nulled, defaulted | hit)
             if _may_forbid(fk, spec):
                 forbidden[_FIXED].append(hit & stays)
         elif fk.on_delete == RESTRICT:
             forbidden[RESTRICT].append(hit & (stays | (level > up[fk])))
         elif fk.on_delete == NO_ACTION:
             forbidden[NO_ACTION].append(hit & stays)
-    counted = {"deleted": [~stays], "nulled": [nulled & stays], **forbidden}
+    counted = {"deleted": [~stays], "nulled": [nulled & stays], "defaulted": [defaulted & stays], **forbidden}
     # a row that breaks two keys counts twice
     sums = [sum((F.count_if(c) for c in found[1:]), F.count_if(found[0])) for found in counted.values()]
     one = rows.agg(*[s.alias(f"n{i}") for i, s in enumerate(sums)])

@@ -567,6 +567,15 @@ def oracle() -> dict[str, str]:
             UNION ALL SELECT -3, 'INSERT', NULL FROM orders WHERE o_orderkey = 3""",
         "fk_audit_delta": _fk_counts(_MUTATED),
         "key_audit_delta": _key_counts(_MUTATED),
+        "conform_formats": """
+            WITH e AS (SELECT event_id, md5(CAST(event_id AS VARCHAR)) AS h FROM events)
+            SELECT event_id,
+              CASE WHEN event_id % 6 < 3 THEN concat_ws('-', left(h, 8), substr(h, 9, 4), substr(h, 13, 4), substr(h, 17, 4), substr(h, 21)) END AS ref,
+              CASE event_id % 5 WHEN 0 THEN '09:30:00' WHEN 1 THEN '23:59:59.25' WHEN 3 THEN '24:00:00' END AS opens,
+              CAST(CASE event_id % 4 WHEN 0 THEN 1.123456789 WHEN 1 THEN event_id + 0.5 WHEN 2 THEN 2.5 ELSE 0 END AS DOUBLE) AS share,
+              concat_ws(',', CASE WHEN event_id % 6 IN (3, 4) THEN 'format:ref' END, CASE WHEN event_id % 5 IN (2, 4) THEN 'format:opens' END,
+                CASE WHEN event_id % 4 IN (0, 3) THEN 'scale:share' END) AS reasons
+            FROM e""",
         "restore_report": _restore_report(),
         "restored_totals": """
             SELECT table_name, measure, CAST(amount AS DOUBLE) AS amount FROM (

@@ -237,6 +237,22 @@ def conform_bad_reasons(spark, sf):
     return bad.select("p_partkey", F.array_join(F.array_sort("reasons"), "|").alias("reasons"))
 
 
+@query
+def conform_formats(spark, sf):
+    """P10: UUIDs, times and unbounded numbers, kept in one spelling or named as wrong."""
+    digest = "md5(cast(event_id AS string))"
+    hyphens = f"concat_ws('-', left({digest}, 8), substr({digest}, 9, 4), substr({digest}, 13, 4), substr({digest}, 17, 4), substr({digest}, 21))"
+    raw = star.table(spark, sf, "events").select(
+        "event_id",
+        F.expr(f"CASE event_id % 6 WHEN 0 THEN {hyphens} WHEN 1 THEN upper({hyphens}) WHEN 2 THEN concat('{{', {digest}, '}}') WHEN 3 THEN 'not-a-uuid' WHEN 4 THEN left({hyphens}, 35) END").alias("ref"),
+        F.expr("CASE event_id % 5 WHEN 0 THEN '09:30' WHEN 1 THEN '23:59:59.250' WHEN 2 THEN '99:99' WHEN 3 THEN '24:00:00' ELSE '24:00:01' END").alias("opens"),
+        F.expr("CASE event_id % 4 WHEN 0 THEN '1.1234567890123456' WHEN 1 THEN concat(event_id, '.5000000000000') WHEN 2 THEN '25e-1' ELSE '1e-11' END").alias("share"),
+    )
+    columns = (Column("event_id", "bigint"), Column("ref", "string", format="uuid"), Column("opens", "string", format="time"), Column("share", "decimal(38,10)", exact=True))
+    found = conform.annotate(raw, Table("main.slots", columns))
+    return found.select("event_id", "ref", "opens", F.col("share").cast("double").alias("share"), F.array_join(conform.REASONS, ",").alias("reasons"))
+
+
 @query
 def check_violations(spark, sf):
     """A two-sided amount rule; a NULL amount passes."""

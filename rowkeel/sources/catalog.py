@@ -13,8 +13,8 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, SparkSession
 
 from rowkeel.functions.rows import name_matches
-from rowkeel.sources.manifest import SYSTEM_SCHEMAS
-from rowkeel.spec import CASCADE, NO_ACTION, RESTRICT, SET_NULL, Check, Column, ForeignKey, Spec, Table, Unique
+from rowkeel.sources.manifest import SYSTEM_SCHEMAS, also_skipped
+from rowkeel.spec import CASCADE, NO_ACTION, RESTRICT, SET_DEFAULT, SET_NULL, Check, Column, ForeignKey, Spec, Table, Unique
 
 COLUMNS_QUERY = """
 SELECT s.nspname AS table_schema, t.relname AS table_name, c.attname AS column_name, c.attnum AS place,
@@ -47,7 +47,7 @@ WHERE k.contype IN ('p', 'f', 'c')
 UNION ALL
 SELECT s.nspname, t.relname, i.relname, 'u',
        (SELECT string_agg(a.attname, ',' ORDER BY n) FROM unnest(x.indkey) WITH ORDINALITY u(num, n)
-        JOIN pg_attribute a ON a.attrelid = x.indrelid AND a.attnum = u.num),
+        JOIN pg_attribute a ON a.attrelid = x.indrelid AND a.attnum = u.num WHERE n <= x.indnkeyatts),
        NULL, NULL, NULL, NULL, pg_get_expr(x.indpred, x.indrelid)
 FROM pg_index x
 JOIN pg_class t ON t.oid = x.indrelid
@@ -57,7 +57,7 @@ WHERE x.indisunique AND NOT x.indisprimary AND x.indexprs IS NULL
 """
 
 # The catalog's delete-action letters, and type names with their Spark type.
-ACTIONS = {"a": NO_ACTION, "r": RESTRICT, "c": CASCADE, "n": SET_NULL}
+ACTIONS = {"a": NO_ACTION, "r": RESTRICT, "c": CASCADE, "n": SET_NULL, "d": SET_DEFAULT}
 TYPES = {
     "smallint": "smallint",
     "integer": "int",
@@ -81,6 +81,10 @@ def spark_kind(type_text: str) -> tuple[str, dict]:
     kind = re.sub(r"^.*\.", "", type_text.strip().lower())
     size = re.fullmatch(r"([a-z ]+?)\s*\(([\d,]+)\)( with(?:out)? time zone)?", kind)
     name, numbers = (size.group(1) + (size.group(3) or ""), size.group(2)) if size else (kind, None)
+    if name == "numeric" and not numbers:
+        return TYPES[name], {"exact": True}
+    if name == "uuid":
+        return TYPES[name], {"format": "uuid"}
     if name == "numeric" and numbers:
         return f"decimal({numbers if ',' in numbers else numbers + ',0'})", {}
     if name in ("character varying", "character"):
@@ -92,7 +96,7 @@ def spark_kind(type_text: str) -> tuple[str, dict]:
     if name == "timestamp without time zone":
         return "timestamp_ntz", {}
     if name.startswith("time ") or name == "time":
-        return "string", {}
+        return "string", {"format": "time zone" if name.endswith("with time zone") else "time"}
     if name in TYPES:
         return TYPES[name], {"json": True} if name in ("json", "jsonb") else {}
     raise ValueError(f"no Spark type for {type_text}")
@@ -175,4 +179,4 @@ def read_catalog(spark: SparkSession, url: str, properties: dict[str, str] | Non
     def run(query: str) -> DataFrame:
         return spark.read.format("jdbc").options(url=url, query=query, **(properties or {})).load()
 
-    return spec_from_catalog(run(COLUMNS_QUERY), run(CONSTRAINTS_QUERY), skip)
+    return spec_from_catalog(run(COLUMNS_QUERY), run(CONSTRAINTS_QUERY), (*skip, *also_skipped(spark)))

@@ -14,7 +14,7 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from rowkeel.functions.rows import name_matches
+from rowkeel.functions.rows import name_matches, parse_globs
 from rowkeel.sources.copytext import copy_line, copy_lines
 from rowkeel.sources.staging import hadoop_path, path_exists, read_small_text, write_small_text
 from rowkeel.sources.tables import per_name, with_all_tables
@@ -24,6 +24,11 @@ MANIFEST = "manifest.json"
 SYSTEM_SCHEMAS = ("pg_catalog.*", "information_schema.*", "pg_toast.*")
 
 
+def also_skipped(spark: SparkSession | None) -> list[str]:
+    """The patterns of the session's setting ``spark.rowkeel.alsoSkip``, in addition to the database's own schemas."""
+    return parse_globs(spark.conf.get("spark.rowkeel.alsoSkip", "")) if spark else []
+
+
 @dataclass(frozen=True)
 class DumpedTable:
     """One dumped table; ``file`` is relative to the dump folder."""
@@ -162,16 +167,19 @@ def export_copy(
     skip: Iterable[str] = SYSTEM_SCHEMAS,
     source: str = "",
     parallel: int = 8,
+    also_skip: Iterable[str] = (),
 ) -> Manifest:
     """Dump tables as COPY text and write the manifest; rows and hashes are taken during the write (S3).
 
-    Generated columns of ``spec`` and tables matching ``skip`` stay out; a target folder
-    that already holds something is refused.
+    Generated columns of ``spec`` and tables matching ``skip``, ``also_skip`` or the session's setting ``spark.rowkeel.alsoSkip`` (a list
+    with commas: schemas of infrastructure, the history of migrations) stay out; a target folder that already holds something is
+    refused.
     """
-    names = [n for n in frames if not name_matches(n, list(skip))]
+    spark = next(iter(frames.values())).sparkSession if frames else None
+    left_out = [*skip, *also_skip, *also_skipped(spark)]
+    names = [n for n in frames if not name_matches(n, left_out)]
     if not names:
         raise ValueError("no tables to dump")
-    spark = frames[names[0]].sparkSession
     fs, p = hadoop_path(spark, folder)
     if fs.exists(p) and len(fs.listStatus(p)) > 0:
         raise FileExistsError(f"dump folder is not empty: {folder}")

@@ -15,6 +15,7 @@ Frames = dict[str, DataFrame]
 
 CASCADE = "CASCADE"
 SET_NULL = "SET NULL"
+SET_DEFAULT = "SET DEFAULT"
 RESTRICT = "RESTRICT"
 NO_ACTION = "NO ACTION"
 
@@ -32,6 +33,10 @@ class Column:
     identity: bool = False
     json: bool = False
     dims: int | None = None
+    #: ``uuid``, ``time`` or ``time zone`` for text that has to have that form; it is kept in the database's own spelling.
+    format: str | None = None
+    #: Digits beyond the scale are a violation instead of being rounded, for numbers that are unbounded at their source.
+    exact: bool = False
 
     @property
     def spark_type(self) -> T.DataType:
