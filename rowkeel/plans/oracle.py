@@ -141,29 +141,30 @@ _LINES = (
     _HEADERS
     + """,
 lb AS (
-  SELECT l_orderkey, l_linenumber, arg_min(l_quantity, l_extendedprice) AS l_quantity,
-         CAST(any_value(o_custkey) % 5 AS INTEGER) AS book_id
-  FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL),
+  SELECT lineitem.*, CAST(o_custkey % 5 AS INTEGER) AS book_id,
+         row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax,
+           l_returnflag, l_linestatus, l_shipdate) AS copy
+  FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey),
 la AS (
-  SELECT l_orderkey, l_linenumber,
+  SELECT l_orderkey, l_linenumber, CAST(copy AS INTEGER) AS copy,
          CASE WHEN (l_orderkey + l_linenumber) % 19 = 0 THEN l_quantity + 1 ELSE l_quantity END AS l_quantity, book_id
   FROM lb WHERE (l_orderkey + l_linenumber) % 17 <> 0
   UNION ALL
-  SELECT l_orderkey, 100, l_quantity, book_id FROM lb WHERE l_linenumber = 1 AND l_orderkey % 23 = 0)"""
+  SELECT l_orderkey, 100, CAST(copy AS INTEGER), l_quantity, book_id FROM lb WHERE l_linenumber = 1 AND l_orderkey % 23 = 0)"""
 )
 
 _LINE_VIOLATIONS = """
-SELECT b.l_orderkey, b.l_linenumber, CASE WHEN a.l_orderkey IS NULL THEN 'DELETE' ELSE 'UPDATE' END AS op,
+SELECT b.l_orderkey, b.l_linenumber, CAST(b.copy AS INTEGER) AS copy, CASE WHEN a.l_orderkey IS NULL THEN 'DELETE' ELSE 'UPDATE' END AS op,
        'line of a ' || h.status || ' header' AS reason
-FROM lb b LEFT JOIN la a ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber
+FROM lb b LEFT JOIN la a ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber AND a.copy = b.copy
 JOIN hb h ON h.o_orderkey = b.l_orderkey AND h.status IN ('Posted', 'Reversed')
 WHERE (a.l_orderkey IS NULL AND b.book_id <> 0)
    OR (a.l_orderkey IS NOT NULL AND (a.l_quantity <> b.l_quantity OR a.book_id <> b.book_id))"""
 
 _LINE_INSERTS = """
-SELECT a.l_orderkey, a.l_linenumber, 'INSERT', 'line put under a ' || h.status || ' header'
+SELECT a.l_orderkey, a.l_linenumber, a.copy, 'INSERT', 'line put under a ' || h.status || ' header'
 FROM la a JOIN hb h ON h.o_orderkey = a.l_orderkey AND h.status IN ('Posted', 'Reversed')
-WHERE NOT EXISTS (SELECT 1 FROM lb b WHERE b.l_orderkey = a.l_orderkey AND b.l_linenumber = a.l_linenumber)"""
+WHERE NOT EXISTS (SELECT 1 FROM lb b WHERE b.l_orderkey = a.l_orderkey AND b.l_linenumber = a.l_linenumber AND b.copy = a.copy)"""
 
 _DOCS_AFTER = """
 docs_after AS (

@@ -725,7 +725,7 @@ def _line_changes(spark, sf, strict: bool) -> DataFrame:
         star.lines_after(before),
         star.headers_before(orders),
         star.books(star.table(spark, sf, "region")),
-        ["l_orderkey", "l_linenumber"],
+        ["l_orderkey", "l_linenumber", "copy"],
         header=["l_orderkey"],
         header_key=["o_orderkey"],
         strict=strict,

@@ -6,7 +6,7 @@ queries then run over whole tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rowkeel.sources.tables import Source, read_frames
@@ -161,12 +161,11 @@ def headers_after(orders: DataFrame) -> DataFrame:
 
 
 def lines_before(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
-    """One line per (order, number), the cheapest; its book is the header's."""
-    lowest = lineitem.groupBy("l_orderkey", "l_linenumber").agg(
-        F.min_by("l_quantity", "l_extendedprice").alias("l_quantity")
-    )
+    """Every line with all its columns; ``copy`` numbers lines that share order and number, and the book is the header's."""
+    rest = [c for c in lineitem.columns if c not in ("l_orderkey", "l_linenumber")]
+    copy = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*rest))
     of = orders.select(F.col("o_orderkey").alias("l_orderkey"), F.expr("cast(o_custkey % 5 as int)").alias("book_id"))
-    return lowest.join(of, "l_orderkey", "left")
+    return lineitem.withColumn("copy", copy).join(of, "l_orderkey", "left")
 
 
 def lines_after(before: DataFrame) -> DataFrame:

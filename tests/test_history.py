@@ -6,6 +6,7 @@ from datetime import date, datetime, timedelta
 import pytest
 
 from rowkeel.operators import history
+from rowkeel.plans import star
 
 HEADER = "id bigint, status string, book_id int, memo string, amount double, reversed_by bigint"
 
@@ -146,3 +147,10 @@ def test_asof_successive_identifiers(spark):
                   [(1, "P-1", date(2023, 12, 31)), (2, "P-1", date(2024, 1, 1)), (3, "P-1", date(2024, 2, 1)), (4, "P-9", date(2024, 2, 1))])
     got = history.resolve_asof(facts, dim, ["num"], "ts", "vf", "vt")
     assert sorted((r.f, r.owner) for r in got.collect()) == [(2, 1), (3, 2)]
+
+
+def test_every_line_enters_the_audit(spark, sf):
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    before = star.lines_before(lines, spark.read.parquet(f"{sf}/orders.parquet"))
+    assert before.count() == lines.count() == before.select("l_orderkey", "l_linenumber", "copy").distinct().count()
+    assert set(lines.columns) < set(before.columns)
