@@ -223,6 +223,23 @@ FROM c JOIN s sa ON sa.name = name_a JOIN s sb ON sb.name = name_b
 JOIN n na ON na.name = name_a JOIN n nb ON nb.name = name_b
 WHERE shared / (sa.size + sb.size - shared) >= 0.3"""
 
+_TRIGRAM_STORED = r"""
+WITH q AS (
+  SELECT DISTINCT 1 AS batch, p_name AS name, 0.4 AS bar FROM part WHERE p_partkey % 2 = 1
+  UNION ALL SELECT DISTINCT 2, p_name || ' ' || lower(p_type), 0.5 FROM part),
+e AS (
+  SELECT 1 AS batch, p_name AS name, count(*) AS copies FROM part WHERE p_partkey % 2 = 0 GROUP BY 2
+  UNION ALL SELECT 2, p_name, count(*) FROM part GROUP BY 2),
+w AS (SELECT name, unnest(regexp_extract_all(lower(name), '[a-z0-9]+')) AS word FROM (SELECT name FROM q UNION SELECT name FROM e)),
+p AS (SELECT name, '  ' || word || ' ' AS padded FROM w),
+g AS (SELECT DISTINCT name, substr(padded, i, 3) AS gram FROM (SELECT name, padded, unnest(range(1, length(padded) - 1)) AS i FROM p)),
+s AS (SELECT name, count(*) AS size FROM g GROUP BY 1),
+c AS (
+  SELECT q.batch, q.name, e.name AS match, any_value(bar) AS bar, any_value(copies) AS copies, count(*) AS shared
+  FROM q JOIN g a ON a.name = q.name JOIN g b ON b.gram = a.gram JOIN e ON e.name = b.name AND e.batch = q.batch GROUP BY 1, 2, 3)
+SELECT c.name, match, round(shared / (x.size + y.size - shared), 6) AS similarity, copies, CAST(batch AS INTEGER) AS batch
+FROM c JOIN s x ON x.name = c.name JOIN s y ON y.name = match WHERE shared / (x.size + y.size - shared) >= bar"""
+
 _TRIGRAM_LOOKUP = r"""
 WITH b AS (SELECT DISTINCT p_name || ' ' || lower(p_type) AS name FROM part),
 e AS (SELECT p_name AS name, count(*) AS copies FROM part GROUP BY 1),
@@ -577,6 +594,7 @@ def oracle() -> dict[str, str]:
               concat_ws(',', CASE WHEN event_id % 6 IN (3, 4) THEN 'format:ref' END, CASE WHEN event_id % 5 IN (2, 4) THEN 'format:opens' END,
                 CASE WHEN event_id % 4 IN (0, 3) THEN 'scale:share' END) AS reasons
             FROM e""",
+        "trigram_stored": _TRIGRAM_STORED,
         "restore_report": _restore_report(),
         "restored_totals": """
             SELECT table_name, measure, CAST(amount AS DOUBLE) AS amount FROM (

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowkeel.functions import rows as fn
-from rowkeel.operators import audit, change, conform, delta_audit, digests, graph_index, history, neighbors, ranges, referential, similar
+from rowkeel.operators import audit, change, conform, delta_audit, digests, graph_index, history, neighbors, ranges, referential, similar, trigram_index
 from rowkeel.plans import star
 from rowkeel.plans.check import audit_all
 from rowkeel.plans.restore import restore
@@ -806,6 +806,19 @@ def trigram_lookup(spark, sf):
     return similar.trigram_lookup(batch, part.select("p_name"), "p_name", 0.5)
 
 
+@query
+def trigram_stored(spark, sf):
+    """Two batches of names looked up in stored postings, the first appended before the second comes."""
+    part = star.table(spark, sf, "part")
+    held = trigram_index.TrigramIndex(spark, scratch_path(spark, "trigrams"))
+    held.create(part.where("p_partkey % 2 = 0"), "p_name", 0.4)
+    first = part.where("p_partkey % 2 = 1")
+    found = stage(held.lookup(first, "p_name"), "found").withColumn("batch", F.lit(1))
+    held.append(first, "p_name")
+    second = part.select(F.concat_ws(" ", "p_name", F.lower("p_type")).alias("p_name"))
+    return found.unionByName(held.lookup(second, "p_name", 0.5).withColumn("batch", F.lit(2)))
+
+
 @query
 def knn_exact(spark, sf):
     """The five nearest vectors of every vector."""

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rowkeel.operators import neighbors, similar
+from rowkeel.operators import neighbors, similar, trigram_index
 
 
 def grams(text):
@@ -67,6 +67,60 @@ def test_lookup_matches_brute_force(spark, block):
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
+def brute_lookup(new, have, threshold):
+    want = set()
+    for a in {n for n in new if n and grams(n)}:
+        for b in {n for n in have if n and grams(n)}:
+            s = len(grams(a) & grams(b)) / len(grams(a) | grams(b))
+            if s >= threshold:
+                want.add((a, b, round(s, 6), have.count(b)))
+    return want
+
+
+def test_stored_postings_match_brute_force_over_batches(spark, tmp_path, monkeypatch):
+    df = lambda names: spark.createDataFrame([(n,) for n in names], "name string")
+    index = trigram_index.TrigramIndex(spark, f"{tmp_path}/index")
+    with pytest.raises(ValueError, match="no index"):
+        index.lookup(df(["x"]), "name")
+    have, second = some_names(70, 2), some_names(40, 5) + ["été zwölf", "été zwei", "日本 語彙", "😀x"]
+    index.create(df(have), "name", 0.3, buckets=8)
+    split = []
+    grams_of = trigram_index.TrigramIndex._split
+    monkeypatch.setattr(trigram_index.TrigramIndex, "_split", lambda self, names, ranks: split.append({r.name for r in names.collect()}) or grams_of(self, names, ranks))
+    new = some_names(30, 3)
+    for threshold in (0.3, 0.7):
+        got = index.lookup(df(new), "name", threshold).collect()
+        assert {tuple(r) for r in got} == brute_lookup(new, have, threshold) and len(got) == len({tuple(r) for r in got})
+    # only names of the batches are split, not those that the index holds
+    assert all(names <= set(new) for names in split)
+    split.clear()
+    fresh = {n for n in second if n and grams(n)} - set(have)
+    assert index.append(df(second), "name") == len(fresh) and split == [fresh]
+    # grams that came after the index was made
+    late = ["zwölf été", "語彙 日本", "😀y 😀x", *new[:10]]
+    for r in (index.lookup(df(late), "name").collect(),):
+        assert {tuple(x) for x in r} == brute_lookup(late, have + second, 0.3)
+    assert index.lookup(df(late).limit(0), "name").count() == 0
+    assert index.append(df(second), "name") == 0
+    assert {tuple(x) for x in index.lookup(df(late), "name").collect()} == brute_lookup(late, have + second + second, 0.3)
+    with pytest.raises(ValueError, match="from 0.3"):
+        index.lookup(df(late), "name", 0.2)
+
+
+def test_a_lookup_reads_only_postings_of_its_grams(spark, tmp_path, monkeypatch):
+    index = trigram_index.TrigramIndex(spark, f"{tmp_path}/index")
+    index.create(spark.range(3000).selectExpr("concat('n', md5(cast(id AS string))) AS name"), "name", 0.5, buckets=64)
+    seen = []
+    read = trigram_index.TrigramIndex._read
+    monkeypatch.setattr(trigram_index.TrigramIndex, "_read", lambda self, paths, schema: seen.append((paths, read(self, paths, schema))) or seen[-1][1])
+    name = spark.range(1).selectExpr("concat('n', md5('7')) AS name")
+    assert [tuple(r)[1:] for r in index.lookup(name, "name").collect()] == [(name.first()[0], 1.0, 1)]
+    # the base is not among the inputs
+    assert all(p.startswith(f"{tmp_path}/index/") for paths, _ in seen for p in paths)
+    folders = {f.split("_bucket=")[1].split("/")[0] for paths, df in seen for f in df.inputFiles() if "_bucket=" in f}
+    assert len(folders) == 64
+
+
 def test_pairs_of_nothing(spark):
     assert similar.trigram_pairs(spark.createDataFrame([], "name string"), "name").count() == 0
 
