@@ -28,8 +28,10 @@ from rowkeel.llm.common import pieces, shuffles_dropped, table, text_of, tokens
 from rowkeel.llm.quality import remainder
 from rowkeel.sources.staging import stage
 
-#: Latent states, rounds over all training documents, most symbols, longest word that is a symbol.
+#: Latent states, most rounds over all training documents, most symbols, longest word that is a symbol.
 STATES, ROUNDS, FREQUENT, SYMBOL_BYTES = 8, 27, 1 << 16, 64
+#: Training ends when a round raised the likelihood of the training documents by less than this, in log10 a token.
+LEAST_GAIN = 0.005
 #: Training runs over stretches of so many words, each document being cut into stretches from end to end; scoring does not cut.
 STRETCH = 512
 ALPHA = 0.1
@@ -72,6 +74,9 @@ class Model:
     start: np.ndarray
     move: np.ndarray
     emit: np.ndarray
+    #: log10 likelihood of the training documents under the model before this one, and their tokens; 0 before the first round.
+    likelihood: float = 0.0
+    tokens: int = 0
 
     @property
     def base_log(self) -> float:
@@ -113,7 +118,8 @@ class Lockstep:
         self.order = np.argsort(-lengths, kind="stable")
         lengths = lengths[self.order]
         at = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        by_step = np.argsort(at, kind="stable")
+        # numbers of 16 bits are sorted by counting
+        by_step = np.argsort(at.astype(np.uint16) if lengths[0] < 1 << 16 else at, kind="stable")
         self.symbols = np.concatenate([sequences[i] for i in self.order])[by_step]
         self.active = np.bincount(at)
         self.begin = np.append(0, np.cumsum(self.active))
@@ -132,18 +138,23 @@ class Lockstep:
         out[self.order] = logs
         return out
 
-    def expected(self, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected starts, moves, and the state weights of each symbol in step order (forward and backward), a row per state."""
+    def expected(self, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """Expected starts, moves, the state weights of each symbol in step order (forward and backward), a row per state, and the log10 likelihood.
+
+        Single precision is enough for weights: every step is scaled, and they are added up in double precision.
+        """
         k, n_all = len(model.start), len(self.symbols)
-        seen, ahead, scale = np.take(model.emit.T, self.symbols, axis=1), np.empty((k, n_all)), np.empty(n_all)
-        a = np.repeat(model.start[:, None], self.active[0], axis=1)
+        start, move, emit = (x.astype(np.float32) for x in (model.start, model.move, model.emit.T))
+        seen, ahead, scale = np.take(emit, self.symbols, axis=1), np.empty((k, n_all), np.float32), np.empty(n_all, np.float32)
+        a = np.repeat(start[:, None], self.active[0], axis=1)
         for t, n in enumerate(self.active):
             b = self.begin[t]
             if t:
-                a = model.move.T @ ahead[:, self.begin[t - 1] : self.begin[t - 1] + n]
+                a = move.T @ ahead[:, self.begin[t - 1] : self.begin[t - 1] + n]
             a *= seen[:, b : b + n]
             scale[b : b + n] = a.sum(axis=0)
             np.divide(a, scale[b : b + n], out=ahead[:, b : b + n])
+        likelihood = float(np.log10(scale, dtype=np.float64).sum())
         moves, weights = np.zeros((k, k)), ahead.copy()
         # what a step tells the one before it; at the last step of a sequence nothing follows
         seen /= scale
@@ -151,10 +162,10 @@ class Lockstep:
             n, b, c = self.active[t + 1], self.begin[t], self.begin[t + 1]
             told = seen[:, c : c + n]
             moves += ahead[:, b : b + n] @ told.T
-            back = model.move @ told
+            back = move @ told
             weights[:, b : b + n] *= back
             seen[:, b : b + n] *= back
-        return weights[:, : self.active[0]].sum(axis=1), model.move * moves, weights
+        return weights[:, : self.active[0]].sum(axis=1, dtype=np.float64), model.move * moves, weights, likelihood
 
 
 def _stretches(symbols: np.ndarray) -> list[np.ndarray]:
@@ -167,12 +178,14 @@ class Expected:
     def __init__(self, model: Model):
         self.model, k = model, len(model.start)
         self.start, self.move, self.emit = np.zeros(k), np.zeros((k, k)), np.zeros((k, len(model.emit)))
+        self.likelihood, self.tokens = 0.0, 0
 
     def add(self, sequences: list[np.ndarray]) -> None:
         if not sequences:
             return
         steps = Lockstep(sequences)
-        start, move, weights = steps.expected(self.model)
+        start, move, weights, likelihood = steps.expected(self.model)
+        self.likelihood, self.tokens = self.likelihood + likelihood, self.tokens + len(steps.symbols)
         self.start += start
         self.move += move
         for own, w in zip(self.emit, weights, strict=True):
@@ -227,8 +240,10 @@ def baum_welch_round(stretches: DataFrame, model: Model) -> Model:
         sums = Expected(sent.value)
         for group in _groups(batches):
             sums.add(group)
-        # symbols first, then the start, then the moves
-        rows = np.concatenate([sums.emit.T, sums.start[None], sums.move])
+        # symbols first, then the start, the moves, the likelihood and the tokens
+        told = np.zeros((2, k))
+        told[:, 0] = sums.likelihood, sums.tokens
+        rows = np.concatenate([sums.emit.T, sums.start[None], sums.move, told])
         used = np.flatnonzero(rows.any(axis=1))
         yield pa.record_batch([pa.array(used, pa.int32()), *(pa.array(rows[used, i]) for i in range(k))], names=["symbol", *names])
 
@@ -236,10 +251,12 @@ def baum_welch_round(stretches: DataFrame, model: Model) -> Model:
     with shuffles_dropped(spark):
         summed = stretches.mapInArrow(run, schema).groupBy("symbol").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
     sent.destroy()
-    rows = np.zeros((rows_of + 1 + k, k))
+    rows = np.zeros((rows_of + 3 + k, k))
     for i, n in enumerate(names):
         rows[summed["symbol"].to_numpy(), i] = summed[n].to_numpy()
-    return renewed(model, rows[rows_of], rows[rows_of + 1 :], rows[:rows_of])
+    made = renewed(model, rows[rows_of], rows[rows_of + 1 : -2], rows[:rows_of])
+    made.likelihood, made.tokens = float(rows[-2, 0]), int(rows[-1, 0])
+    return made
 
 
 def _symbol_table(counts: DataFrame) -> tuple[list[bytes], np.ndarray, int, int]:
@@ -271,14 +288,20 @@ def first_states(model: Model, states: int = STATES) -> Model:
     return Model(model.symbols, model.counts, model.total, model.distinct, np.full(states, 1 / states), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
-def train(docs: DataFrame, counts: DataFrame, rounds: int = ROUNDS) -> Model:
-    """The model of ``text`` of ``docs``, given their written :func:`count_words`; every round covers all of it."""
+def train(docs: DataFrame, counts: DataFrame, rounds: int = ROUNDS, least_gain: float = LEAST_GAIN) -> Model:
+    """The model of ``text`` of ``docs``, given their written :func:`count_words`; every round covers all of it.
+
+    A round tells the likelihood of the model that it started from; when that is less than ``least_gain`` a token above the one of the
+    round before, the rounds end.
+    """
     symbols, c, total, distinct = _symbol_table(counts)
     k = np.ones(1)
     model = first_states(Model(symbols, c, total, distinct, k, k[None], k[None]))
     stretches = stage(encoded(docs, model), "stretches")
-    for _ in range(rounds):
-        model = baum_welch_round(stretches, model)
+    for i in range(rounds):
+        before, model = model, baum_welch_round(stretches, model)
+        if i and model.likelihood - before.likelihood < least_gain * model.tokens:
+            break
     return model
 
 
