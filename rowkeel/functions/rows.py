@@ -66,6 +66,36 @@ def valid_json(text: Column | str) -> Column:
     return text.isNull() | F.try_parse_json(text).isNotNull()
 
 
+def _exact_number(number: Column) -> Column:
+    """A JSON number as its digits and a power of ten, the same for all spellings: ``1.50``, ``15e-1`` and ``1.5`` give ``15e-1``."""
+    group = lambda i: F.regexp_extract(number, r"^-?(\d+)(?:\.(\d*))?(?:[eE]([+-]?\d+))?$", i)
+    digits = F.regexp_replace(F.concat(group(1), group(2)), "^0+", "")
+    bare = F.regexp_replace(digits, "0+$", "")
+    power = F.coalesce(group(3).try_cast("bigint"), F.lit(0)) - F.length(group(2)) + F.length(digits) - F.length(bare)
+    sign = F.when(number.startswith("-"), "-").otherwise("")
+    return F.when(bare == "", "0").otherwise(F.concat(sign, bare, F.lit("e"), power.cast("string")))
+
+
+def canonical_json(text: Column | str) -> Column:
+    """One spelling of every JSON value: no blanks, keys in order, escapes resolved, numbers by value whatever their digits.
+
+    Texts are equal after this just when the database's binary JSON would be. A text that is no JSON, or repeats a key in an object, is
+    kept as it is behind a mark; NULL stays NULL. Numbers and texts are marked (``n``, ``s``) before the keys are sorted, so no
+    precision is lost and a text never equals a number.
+    """
+    text = F.col(text) if isinstance(text, str) else text
+    tokens = F.regexp_extract_all(text, F.lit(r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|-?\d[\d.eE+-]*|[^"\d-]+|-'), F.lit(0))
+    marked = F.transform(
+        tokens,
+        lambda t: F.when(t.startswith('"'), F.concat(F.lit('"s'), F.substr(t, F.lit(2))))
+        .when(t.rlike("^-?[0-9]"), F.concat(F.lit('"n'), _exact_number(t), F.lit('"')))
+        .otherwise(t),
+    )
+    plain = F.to_json(F.try_parse_json(F.array_join(marked, "")))
+    parsed = F.try_parse_json(text).isNotNull()
+    return F.when(text.isNotNull(), F.coalesce(F.when(parsed, plain), F.concat(F.lit("not JSON: "), text)))
+
+
 def int_array(text: Column | str) -> Column:
     """``{1,2,NULL}`` as an integer array; a malformed text gives NULL."""
     text = F.col(text) if isinstance(text, str) else text

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rowkeel.functions.rows import canonical_json
 from rowkeel.sources.staging import stage, stage_counted
 
 INSERT, UPDATE, DELETE = "INSERT", "UPDATE", "DELETE"
@@ -20,19 +21,23 @@ def diff_snapshots(
     cols: list[str] | None = None,
     carry: Iterable[str] = (),
     digest: Iterable[str] = (),
+    json: Iterable[str] = (),
 ) -> DataFrame:
     """Rows that differ between two snapshots with unique ``key``.
 
     Returns ``(key..., op, changed, old, new)``: ``changed`` lists the differing columns of an
     update (NULL equals NULL), ``old`` and ``new`` hold the ``carry`` columns. ``cols`` defaults to
     all non-key columns; nothing else is shuffled. Columns named in ``digest`` (long
-    texts) are compared by their SHA-256, so 64 characters travel in place of the text.
+    texts) are compared by their SHA-256, so 64 characters travel in place of the text. Columns named in ``json`` are
+    compared as JSON values, likewise by a hash: blanks, the order of keys and the spelling of numbers do not matter.
     """
     cols = [c for c in before.columns if c not in key] if cols is None else list(cols)
-    digest, carry = set(digest), list(carry)
+    json = set(json)
+    digest, carry = set(digest) | json, list(carry)
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        seen = [(F.sha2(F.col(c).cast("binary"), 256) if c in digest else F.col(c)).alias(c) for c in cols]
+        text = lambda c: canonical_json(c) if c in json else F.col(c)
+        seen = [(F.sha2(text(c).cast("binary"), 256) if c in digest else F.col(c)).alias(c) for c in cols]
         kept = [F.col(c) for c in carry if c not in cols or c in digest]
         compared = F.struct(*seen) if seen else F.struct(F.lit(True).alias("_row"))
         return df.select(*key, compared.alias(name), F.struct(F.lit(True).alias("_row"), *kept).alias(f"{name}_kept"))

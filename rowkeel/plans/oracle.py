@@ -595,6 +595,9 @@ def oracle() -> dict[str, str]:
                 CASE WHEN event_id % 4 IN (0, 3) THEN 'scale:share' END) AS reasons
             FROM e""",
         "trigram_stored": _TRIGRAM_STORED,
+        "json_changes": """
+            SELECT event_id, 'UPDATE' AS op, 'props' AS changed FROM events
+            WHERE event_id % 13 IN (0, 2) AND props IS NOT NULL AND event_type IS NOT NULL AND json_extract(props, '$.k') IS NOT NULL""",
         "restore_report": _restore_report(),
         "restored_totals": """
             SELECT table_name, measure, CAST(amount AS DOUBLE) AS amount FROM (

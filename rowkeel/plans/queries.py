@@ -691,6 +691,18 @@ def snapshot_diff(spark, sf):
     return found.select("o_orderkey", "op", F.array_join("changed", ",").alias("changed"))
 
 
+@query
+def json_changes(spark, sf):
+    """Events whose properties changed as JSON values; all of them are spelled anew."""
+    events = star.table(spark, sf, "events").select("event_id", "event_type", "value", F.get_json_object("props", "$.k").alias("k"))
+    before = F.expr("""concat('{"k": ', k, ', "kind": "', event_type, '", "list": [1, 2.50, {"b": null, "a": true}], "share": 0.5}')""")
+    after = F.expr("""concat('{"share":5e-1,"list":[1.0,25e-1,{"a":true,"b":null}],"kind":"', event_type, '",\n "k":', k,
+      CASE event_id % 13 WHEN 0 THEN '1' WHEN 1 THEN '.0' WHEN 2 THEN ', "new": 1' ELSE '' END, '}')""")
+    side = lambda props: events.select("event_id", props.alias("props"))
+    found = history.diff_snapshots(side(before), side(after), ["event_id"], json=["props"])
+    return found.select("event_id", "op", F.array_join("changed", ",").alias("changed"))
+
+
 @query
 def snapshot_diff_digest(spark, sf):
     """Changed headers found by comparing digest trees; equal buckets are not read."""
