@@ -34,6 +34,20 @@ CACHE_WORDS, CACHE_ROWS = 150_000, 200_000
 WORDS = r""" ?\p{L}++|'(?:s|t|re|ve|m|ll|d)| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s+(?!\S)|\s+"""
 
 
+# Code points that this Python's classes count as letters or digits, and the tokenizers library, whose tables are of Unicode 16, does not.
+LATER = (
+    "\u0558\u058b-\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce-\ua7cf\ua7d2\ua7d4\ua7dd\ua7e2\ua7f1\uab6c-\uab6d"
+    "\U000107bb-\U000107bf\U00010940-\U00010959\U00010ec5-\U00010ec7\U00010ed9-\U00010eee\U00011b0a\U00011db0-\U00011ddb\U00011de0-\U00011de9"
+    "\U00011df1\U0001246f\U00012475-\U0001247f\U00012550-\U00012686\U00016ea0-\U00016eb8\U00016ebb-\U00016ed3\U00016ff2-\U00016ff6"
+    "\U000187f8-\U000187ff\U00018cd6-\U00018cda\U00018d09-\U00018d20\U00018d80-\U00018df2\U00018e00-\U00019191\U000191a0-\U000191d2"
+    "\U0001b123-\U0001b128\U0001b168\U0001d6a6\U0001df1f-\U0001df24\U0001df2b-\U0001df81\U0001df90-\U0001df96\U0001dfcd-\U0001dfff"
+    "\U0001e6c0-\U0001e6de\U0001e6e0-\U0001e6e2\U0001e6e4-\U0001e6e5\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4\U0001e6fe-\U0001e6ff"
+    "\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead\U000323b0-\U00033479\U0003d000-\U0003fc3f"
+)
+#: The same split for texts with such code points, which are neither letters nor digits there.
+WORDS_BEFORE = rf""" ?(?:(?![{LATER}])\p{{L}})++|'(?:s|t|re|ve|m|ll|d)| ?(?:(?![{LATER}])\p{{N}})++| ?(?:[^\s\p{{L}}\p{{N}}]|[{LATER}])++|\s+(?!\S)|\s+"""
+
+
 def byte_names() -> dict[str, int]:
     """The printable stand-ins of the 256 bytes in byte-level vocabularies: printable Latin-1 stands for itself, the rest follows from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -70,7 +84,7 @@ class Automaton:
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.labels |= {i: t.encode() for t, i in self.added.items()}
         self.apart = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
-        self.words = regex.compile(WORDS)
+        self.words, self.words_before, self.later = regex.compile(WORDS), regex.compile(WORDS_BEFORE), regex.compile(f"[{LATER}]")
         self._read_labels()
         self.cache: dict[str, bytes] = {}
 
@@ -183,7 +197,7 @@ class Automaton:
         return b"".join([*out, self._plain(text[at:])])
 
     def _plain(self, text: str) -> bytes:
-        words = self.words.findall(text)
+        words = self.split(text)
         cache = self.cache
         try:
             return b"".join([cache[w] for w in words])
@@ -201,6 +215,15 @@ class Automaton:
             out.append(got)
         return b"".join(out)
 
+    def split(self, text: str) -> list[str]:
+        """The words of a text; one of Latin-1 alone, which is told at once, holds no later code point."""
+        try:
+            text.isascii() or text.encode("latin-1")
+        except UnicodeEncodeError:
+            if self.later.search(text):
+                return self.words_before.findall(text)
+        return self.words.findall(text)
+
     def text(self, packed: bytes) -> str:
         """The labels of the ids, one after another; bytes that are no UTF-8 become U+FFFD."""
         return b"".join(map(self.labels.__getitem__, np.frombuffer(packed, "<u4").tolist())).decode("utf-8", "replace")

@@ -98,11 +98,17 @@ def nearest(k: int, tables: int = TABLES, probes: int = PROBES, seed: int = 7):
 def approximate_nearest(vectors: DataFrame, k: int, every: int, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest found for each id divisible by ``every``.
 
-    See :func:`usable` for the rows left out (zero vectors too) and for repeated ids. Every row is indexed; tables need no
+    See :func:`usable` for the rows left out (zero vectors too). Every row is indexed; tables need no
     fitting. Ties go to the smaller id. Empty table: no rows. Extra columns are ignored.
     """
     return ranked(search_blocks(usable(vectors, nonzero=True), every, nearest(k, tables, probes), "double"), k)
 
 
 def op8_crosspolytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each query's twenty nearest rows found, by exact inner product.
+
+    Null ids, and vectors that are null, zero, empty or hold a null or non-finite component, take no part; rows that share an id are all
+    candidates of other ids; vectors of different lengths never meet; ties go to the smaller id; an empty table gives no rows; extra
+    columns are ignored.
+    """
     return approximate_nearest(table(spark, sf_dir, "embeddings"), 20, 20)

@@ -22,8 +22,19 @@ RUN_ROWS = 2048
 
 
 def quantized(vectors: DataFrame) -> DataFrame:
-    """floor(256 x) of every component; doubles, exact up to 2^53."""
-    return vectors.withColumn("embedding", F.transform("embedding", lambda x: F.floor(x * 256).cast("double")))
+    """floor(256 x) of every component, as doubles that hold the integer exactly; one beyond 64 bits stops the search."""
+    refused = F.raise_error(F.lit("a component times 256 does not fit into 64 bits")).cast("double")
+    whole = lambda x: F.when(F.abs(x * 256) < F.lit(2.0**63), F.floor(x * 256).cast("double")).otherwise(refused)
+    return vectors.withColumn("embedding", F.transform("embedding", whole))
+
+
+def _exact(q: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Inner products in integers of any size; one beyond 64 bits stops the search."""
+    whole = [int(v) for v in q]
+    scores = [sum(a * int(b) for a, b in zip(whole, row, strict=True)) for row in rows]
+    if any(not -(1 << 63) <= s < 1 << 63 for s in scores):
+        raise OverflowError("an inner product does not fit into 64 bits")
+    return np.array(scores, np.int64)
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -35,6 +46,14 @@ def top_k(k: int):
     """The kernel of :func:`search_blocks`: exact, for any signs, ties to the smaller id."""
 
     def kernel(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> Iterator:
+        # doubles add up integers exactly below 2^53; larger ones are rare and go without bounds
+        if len(ids) and float(np.abs(rows).max()) * float(np.abs(queries).max()) * rows.shape[1] >= 2.0**53:
+            for query_id, q in zip(query_ids, queries, strict=True):
+                others = np.flatnonzero(ids != query_id)
+                score = _exact(q, rows[others])
+                order = sorted(range(len(others)), key=lambda i: (-int(score[i]), ids[others[i]]))[:k]
+                yield query_id, ids[others][order], score[order]
+            return
         runs = []
         for at in range(0, len(ids), RUN_ROWS):
             part = np.ascontiguousarray(rows[at : at + RUN_ROWS].T)
@@ -76,13 +95,19 @@ def top_k(k: int):
 def exact_top_k(vectors: DataFrame, k: int, every: int) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each id divisible by ``every`` its ``k`` highest integer inner products.
 
-    See :func:`usable` for the rows left out and for repeated ids. Fewer than ``k`` candidates: all of them. Empty table:
+    See :func:`usable` for the rows left out. Each row is a candidate, and each row of a query id asks. Fewer than ``k`` candidates: all of them. Empty table:
     no rows. Ties go to the smaller id. Extra columns are ignored.
     """
     return ranked(search_blocks(quantized(usable(vectors)), every, top_k(k), "long"), k)
 
 
 def op7_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each query's five highest integer inner products.
+
+    Null ids, and vectors that are null, empty or hold a null or non-finite component, take no part; rows that share an id are all
+    candidates of other ids; vectors of different lengths never meet; ties go to the smaller id; an empty table gives no rows; extra
+    columns are ignored. Components or products beyond 64 bits stop the query with a message.
+    """
     return exact_top_k(table(spark, sf_dir, "embeddings"), 5, 50)
 
 

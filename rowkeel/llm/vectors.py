@@ -22,7 +22,7 @@ def usable(df: DataFrame, nonzero: bool = False) -> DataFrame:
     """``vec_id, embedding`` (doubles) of the rows that take part.
 
     Left out: null ids, null or empty vectors, vectors with a null, NaN or infinite component, and zero vectors where
-    ``nonzero``. An id that occurs in several rows is represented by its least vector.
+    ``nonzero``. Rows that share an id are rows like others; none of them is a neighbour of that id.
     """
     e = F.col("embedding")
     fine = F.col("vec_id").isNotNull() & e.isNotNull() & (F.size(e) > 0)
@@ -37,19 +37,13 @@ def matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
-def one_per_id(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Ids in rising order and their vectors; the least vector of a repeated id."""
+def by_id(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Ids in rising order and their vectors."""
     ids = table["vec_id"].to_numpy()
     width = len(table["embedding"][0]) if len(ids) else 0
     x = matrix(table["embedding"], width) if len(ids) else np.zeros((0, 0))
     order = np.argsort(ids, kind="stable")
-    ids, x = ids[order], x[order]
-    if len(ids) and (ids[1:] == ids[:-1]).any():
-        keep = []
-        for part in np.split(np.arange(len(ids)), np.flatnonzero(ids[1:] != ids[:-1]) + 1):
-            keep.append(min(part, key=lambda i: tuple(x[i])))
-        ids, x = ids[keep], x[keep]
-    return ids, x
+    return ids[order], x[order]
 
 
 def search_blocks(vectors: DataFrame, every: int, kernel: Callable, score_type: str) -> DataFrame:
@@ -61,16 +55,18 @@ def search_blocks(vectors: DataFrame, every: int, kernel: Callable, score_type:
     shards = max(1, -(-rows // SHARD_ROWS))
     blocks = max(1, -(-rows // (every * BLOCK_QUERIES)))
     keyed = vectors.withColumn("width", F.size("embedding"))
-    left = keyed.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    # rows of one id, and equal rows, spread over all shards
+    spread = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(shards))
+    left = keyed.withColumn("shard", spread).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     asked = keyed.where(F.col("vec_id") % every == 0)
-    right = asked.withColumn("block", F.pmod(F.hash("vec_id"), F.lit(blocks))).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
+    right = asked.withColumn("block", F.pmod(F.hash("vec_id", F.monotonically_increasing_id()), F.lit(blocks))).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
     kind = pa.int64() if score_type == "long" else pa.float64()
 
     def group(rows_in: pa.Table, queries_in: pa.Table) -> pa.Table:
         found = ([], [], [])
         if rows_in.num_rows and queries_in.num_rows:
-            ids, x = one_per_id(rows_in)
-            asked_ids, q = one_per_id(queries_in)
+            ids, x = by_id(rows_in)
+            asked_ids, q = by_id(queries_in)
             for a, b, s in kernel(asked_ids, q, ids, x):
                 for part, values in zip(found, (np.full(len(b), a), b, s), strict=True):
                     part.append(values)
