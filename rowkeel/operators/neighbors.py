@@ -19,7 +19,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _PAIRS = "query_id bigint, neighbor_id bigint, similarity double"
 _QUERY_CHUNK = 1024
-MAX_PIVOTS = 2048
+#: Pivots go to every task; so many bytes of them at most.
+PIVOT_BYTES = 64 << 20
 _ROUND = 6
 
 
@@ -147,7 +148,7 @@ def knn_by_cells(
 ) -> DataFrame:
     """Exact k nearest rows for query sets of any size, as an equi-join on cells of space.
 
-    Some corpus vectors, the square root of their number within 16 and 2048, serve as pivots; every
+    Some corpus vectors, as many as the square root of their number and at least 16, serve as pivots (``PIVOT_BYTES`` of them at most); every
     vector belongs to the cell of its nearest pivot. A query first searches the nearest cells that hold k rows, which gives a true
     distance bound, and then only those cells that can hold something closer by the triangle
     inequality. Cells are joined in blocks of bounded size (see :func:`_block_join`).
@@ -155,7 +156,8 @@ def knn_by_cells(
     q, c = _prepared(queries, id_col, vec_col), _prepared(corpus, id_col, vec_col)
     spark = q.sparkSession
     if pivots is None:
-        pivots = min(MAX_PIVOTS, max(16, isqrt(corpus.count())))
+        shape = c.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).first()
+        pivots = min(PIVOT_BYTES // (8 * (shape["d"] or 1)), max(16, isqrt(shape["n"])))
     picked = c.orderBy(F.xxhash64("id"), "id").limit(pivots).toArrow()
     if picked.num_rows == 0:
         return spark.createDataFrame([], _PAIRS + ", rank int")

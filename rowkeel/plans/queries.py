@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowkeel.functions import rows as fn
-from rowkeel.operators import audit, change, conform, delta_audit, digests, graph_index, history, neighbors, ranges, referential, similar, trigram_index
+from rowkeel.operators import audit, change, conform, delta_audit, digests, graph_index, history, ledger, neighbors, ranges, referential, similar, trigram_index
 from rowkeel.plans import star
 from rowkeel.plans.check import audit_all
 from rowkeel.plans.restore import restore
@@ -572,6 +572,16 @@ def increment_classes(spark, sf):
     return change.classify_increment(star.docs_after(docs), _ledger(docs), ["source", "doc_id"], "text")
 
 
+@query
+def increment_filtered(spark, sf):
+    """The same against a ledger of several appends with membership filters, which opens only what may hold a record."""
+    docs = star.table(spark, sf, "documents")
+    held, known = ledger.FilteredLedger(spark, scratch_path(spark, "ledger")), _ledger(docs)
+    held.create(known.where("doc_id % 3 = 0"), ["source", "doc_id"])
+    held.append(known.where("doc_id % 3 <> 0"))
+    return held.classify(star.docs_after(docs), "text")
+
+
 @query
 def increment_applied(spark, sf):
     """What applying the batch appends to the ledger."""
