@@ -28,7 +28,10 @@ HEADLINES = (
     "line_violations",
     "write_once_violations",
     "asof_resolve",
+    "set_null_counts",
+    "range_overlaps",
     "trigram_pairs",
+    "trigram_lookup",
     "knn_exact",
     "knn_cells",
     "copy_roundtrip",

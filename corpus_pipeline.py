@@ -15,27 +15,43 @@ from rowkeel.sources.staging import stage
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the classifier rejects go."""
+    """Rows that the classifier rejects go.
+
+    A null or empty text is scored like others; null ids and repeated rows are rows like others, extra columns stay, an empty table stays
+    empty; without labels every row stays.
+    """
     return quality.kept(docs, quality.trained(docs, table(spark, sf_dir, "labels")))
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays (five words, similarity 0.8)."""
+    """One document of each group of near-duplicates stays (five words, similarity 0.8), of those with the smallest id one.
+
+    Rows without words are linked with nothing and stay; extra columns stay with their row; an empty table stays empty.
+    """
     return minhash.deduplicated(docs)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; no row goes."""
+    """Secrets are replaced by a mark; no row goes.
+
+    A null text stays null; equal texts are scanned once; null ids, repeated rows and extra columns stay; an empty table stays empty.
+    """
     return secrets.without_secrets(docs, secrets.Ledger(spark))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are mixed to their target weights; a row comes once per copy that the mix takes."""
+    """Sources are mixed to their target weights; a row comes once per copy that the mix takes.
+
+    A null source is a source of its own, the last; a null text has no words; extra columns stay; an empty table stays empty.
+    """
     return mixing.mixed(docs)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts are encoded; the digest of the decoded ids shows that nothing was lost."""
+    """Texts are encoded; the digest of the decoded ids shows that nothing was lost.
+
+    A null text is the empty text and has no tokens; null ids and repeated rows give rows like others; an empty table gives none.
+    """
     return bpe.digest(docs, public_tokenizers.path("byte_bpe_50k.json"), ["doc_id", "source"], with_ids=True)
 
 
