@@ -88,8 +88,9 @@ def test_each_table_is_scanned_once(spark, tmp_path, frames):
     read = {n: spark.read.parquet(f"{tmp_path}/{n}") for n in frames}
     parents = (("area", AREA, "id"), ("lost", AREA, "id"))
     plan = audit.audit_references(read, spec_of(parents))._jdf.queryExecution().executedPlan().toString()
-    scans = re.findall(r"FileScan parquet \[([^\]]*)\].*?/(a\.\w+)", plan)
-    assert sorted(t for _, t in scans) == [AREA, NOTE]
+    # paths are cut in a plan, columns are not
+    scans = sorted(re.sub(r"#\d+L?", "", c) for c in re.findall(r"FileScan parquet \[([^\]]*)\]", plan))
+    assert scans == ["id", "kind,ref,area"]
 
 
 def test_contradictions_are_refused():
