@@ -22,12 +22,12 @@ CONSTRAINTS = (
 KINDS = [
     ("integer", "int", {}),
     ("numeric(18,4)", "decimal(18,4)", {}),
-    ("numeric", "decimal(38,10)", {}),
+    ("numeric", "decimal(38,10)", {"exact": True}),
     ("character varying(20)", "string", {"max_chars": 20}),
     ("character(64)", "string", {"max_chars": 64}),
     ("timestamp with time zone", "timestamp", {}),
     ("timestamp(3) without time zone", "timestamp_ntz", {}),
-    ("time without time zone", "string", {}),
+    ("time without time zone", "string", {"format": "time"}),
     ("jsonb", "string", {"json": True}),
     ("public.vector(384)", "array<float>", {"dims": 384}),
     ("integer[]", "array<int>", {}),
