@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -223,3 +224,31 @@ def test_vectors_with_nan_or_null_elements_take_no_neighbour_away(spark):
     want = sorted(map(tuple, neighbors.knn(clean, clean, 3).collect()))
     assert sorted(map(tuple, neighbors.knn(dirty, dirty, 3).collect())) == want
     assert sorted(map(tuple, neighbors.knn_by_cells(dirty, dirty, 3).collect())) == want
+
+
+@pytest.mark.parametrize("way", ["cells", "lsh"])
+def test_vectors_are_written_once_not_per_cell_or_bucket(spark, monkeypatch, way):
+    """Without structure nearly every cell is probed; a vector still travels per block of rows only."""
+    rng = np.random.default_rng(7)
+    n, k = 600, 3
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=24)]) for i in range(n)]
+    df, staged, stage = frame(spark, rows), [], neighbors.stage
+    monkeypatch.setattr(neighbors, "stage", lambda *a, **b: staged.append(stage(*a, **b)) or staged[-1])
+    if way == "cells":
+        got = neighbors.knn_by_cells(df, df, k, pivots=24)
+        assert {(r.query_id, r.neighbor_id, r["rank"]) for r in got.collect()} == brute_knn(rows, rows, k)
+    else:
+        assert neighbors.knn_lsh(df, df, k).count() == n * k
+    assert max(s.count() for s in staged if "vec" in s.columns) == n
+    assert max(s.count() for s in staged) <= n * k
+
+
+def test_memory_of_a_search_does_not_grow_with_the_corpus():
+    """Not even where all rows are copies, so that every pair is a tie."""
+    q, c = np.ones((1500, 4)) / 2, np.ones((40_000, 4)) / 2
+    tracemalloc.start()
+    ids, found, sims = neighbors._best(np.arange(1500), q, np.arange(40_000)[::-1], c, 3, True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.reshape(-1, 3)[[0, 1, 2, 9]].tolist() == [[1, 2, 3], [0, 2, 3], [0, 1, 3], [0, 1, 2]] and set(sims) == {1.0}
+    assert peak < 64 << 20
