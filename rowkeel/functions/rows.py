@@ -7,6 +7,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def parse_globs(text: str | None) -> list[str]:
@@ -54,6 +55,25 @@ def content_key(text: Column | str) -> Column:
     return F.sha2(F.replace(text, F.lit("\r\n"), F.lit("\n")), 256)
 
 
+def _places_of_nulls(value: Column, kind: T.DataType) -> list[Column]:
+    out = [value.isNull()]
+    if isinstance(kind, T.ArrayType):
+        out += [F.size(value), F.transform(value, lambda x: F.struct(*_places_of_nulls(x, kind.elementType)))]
+    elif isinstance(kind, T.StructType):
+        out += [place for f in kind.fields for place in _places_of_nulls(value.getField(f.name), f.dataType)]
+    return out
+
+
+def row_hash(df: DataFrame, columns: list[str]) -> Column:
+    """64 bits that stand for the values of some columns: equal rows have equal ones, NULLs, NaN and signed zeros as in a grouping.
+
+    Hashes pass over NULLs, also inside arrays and structs, so the places of these are hashed as well.
+    """
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    values = [F.col(f"`{c}`") for c in columns]
+    return F.xxhash64(*values, *[place for c, v in zip(columns, values) for place in _places_of_nulls(v, kinds[c])])
+
+
 def expired(df: DataFrame, due: str, asof: Column | object, guard: str | None = None) -> DataFrame:
     """Rows whose due time has passed at ``asof`` and for which ``guard`` (not yet done) holds."""
     late = F.col(due) <= (asof if isinstance(asof, Column) else F.lit(asof))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowkeel.functions.rows import canonical_json
+from rowkeel.functions.rows import canonical_json, row_hash
 from rowkeel.sources.staging import stage, stage_counted
 
 INSERT, UPDATE, DELETE = "INSERT", "UPDATE", "DELETE"
@@ -38,7 +38,7 @@ def diff_snapshots(
     def side(df: DataFrame, name: str) -> DataFrame:
         text = lambda c: canonical_json(c) if c in json else F.col(c)
         seen = [(F.sha2(text(c).cast("binary"), 256) if c in digest else F.col(c)).alias(c) for c in cols]
-        kept = [F.col(c) for c in carry if c not in cols or c in digest]
+        kept = [F.col(c) for c in carry if c not in key and (c not in cols or c in digest)]
         compared = F.struct(*seen) if seen else F.struct(F.lit(True).alias("_row"))
         return df.select(*key, compared.alias(name), F.struct(F.lit(True).alias("_row"), *kept).alias(f"{name}_kept"))
 
@@ -54,9 +54,8 @@ def diff_snapshots(
 
     def carried(name: str) -> Column:
         # NULL for the missing side, not a struct of NULLs
-        fields = [
-            F.col(f"{name}_kept.{c}" if c not in cols or c in digest else f"{name}.{c}").alias(c) for c in carry
-        ]
+        place = lambda c: c if c in key else f"{name}_kept.{c}" if c not in cols or c in digest else f"{name}.{c}"
+        fields = [F.col(place(c)).alias(c) for c in carry]
         return F.when(F.col(name).isNotNull(), F.struct(F.lit(True).alias("_row"), *fields))
 
     out = both.select(
@@ -129,7 +128,12 @@ def audit_line_changes(
     The old parent's status decides; a missing parent allows the change. ``strict`` also
     reports inserts into, and moves under, a Posted or Reversed header.
     """
-    changes = diff_snapshots(before, after, key, carry=[*header, book])
+    # whether a line changed is all that counts here, so a hash stands for the compared columns on the way
+    compared = [c for c in before.columns if c not in key]
+    hashed = lambda df: df.withColumn("_hash", row_hash(df, compared))
+    changes = diff_snapshots(hashed(before), hashed(after), key, ["_hash"], carry=[*header, book])
+    if strict:
+        changes = stage(changes.drop("changed"), "line-changes")
     locked = headers.where(F.col(status).isin("Posted", "Reversed")).select(
         *[F.col(h).alias(f"_h{i}") for i, h in enumerate(header_key)], F.col(status).alias("_status")
     )

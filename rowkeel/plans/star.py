@@ -164,8 +164,11 @@ def lines_before(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     """Every line with all its columns; ``copy`` numbers lines that share order and number, and the book is the header's."""
     rest = [c for c in lineitem.columns if c not in ("l_orderkey", "l_linenumber")]
     copy = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*rest))
-    of = orders.select(F.col("o_orderkey").alias("l_orderkey"), F.expr("cast(o_custkey % 5 as int)").alias("book_id"))
-    return lineitem.withColumn("copy", copy).join(of, "l_orderkey", "left")
+    book = F.expr("cast(o_custkey % 5 as int)").alias("book_id")
+    # one row per order, so that lines meet their books first and are numbered where they are, without another shuffle
+    of = orders.groupBy(F.col("o_orderkey").alias("l_orderkey")).agg(F.collect_list(F.struct(book)).alias("books"))
+    numbered = lineitem.join(of, "l_orderkey", "left").withColumn("copy", copy)
+    return numbered.select(*lineitem.columns, "copy", F.explode_outer("books").alias("of")).select(*lineitem.columns, "copy", "of.book_id")
 
 
 def lines_after(before: DataFrame) -> DataFrame:

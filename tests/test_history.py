@@ -154,3 +154,23 @@ def test_every_line_enters_the_audit(spark, sf):
     before = star.lines_before(lines, spark.read.parquet(f"{sf}/orders.parquet"))
     assert before.count() == lines.count() == before.select("l_orderkey", "l_linenumber", "copy").distinct().count()
     assert set(lines.columns) < set(before.columns)
+
+
+def test_line_audit_ships_hashes_and_writes_changes_only(spark, monkeypatch):
+    """Of a line only its key, header, book and a hash travel; the strict audit compares the snapshots once."""
+    n = 300
+    before = spark.range(n).selectExpr("id AS line", "id % 10 AS head", "1 AS book_id", "repeat('x', 500) AS memo", "array(if(id % 2 = 0, null, 1), id) AS marks")
+    after = before.where("line <> 7").selectExpr("line", "if(line = 8, 3L, head) AS head", "book_id", "if(line = 9, 'y', memo) AS memo", "if(line = 10, array(line, null), marks) AS marks")
+    headers = spark.createDataFrame([(h, "Posted" if h < 9 else "Draft") for h in range(10)], "id long, status string")
+    books = spark.createDataFrame([(1, "MAIN")], "id int, code string")
+    staged, compared, stage, diff = [], [], history.stage, history.diff_snapshots
+    monkeypatch.setattr(history, "stage", lambda *a, **b: staged.append(stage(*a, **b)) or staged[-1])
+    monkeypatch.setattr(history, "diff_snapshots", lambda *a, **b: compared.append(a[3] if len(a) > 3 else None) or diff(*a, **b))
+    found = history.audit_line_changes(before, after, headers, books, ["line"], ["head"], ["id"], strict=True)
+    assert sorted(map(tuple, found.collect())) == [
+        (7, "DELETE", "line of a Posted header"),
+        (8, "UPDATE", "line of a Posted header"),
+        (8, "UPDATE", "line put under a Posted header"),
+        (10, "UPDATE", "line of a Posted header"),
+    ]
+    assert compared == [["_hash"]] and [s.count() for s in staged] == [4]
