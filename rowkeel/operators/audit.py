@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rowkeel.functions.rows import row_hash
 from rowkeel.sources.staging import stage
 from rowkeel.sources.tables import union_all
 from rowkeel.spec import Frames, PolymorphicKey, Spec
@@ -295,10 +296,19 @@ def reconcile(a: DataFrame, b: DataFrame, distinct: bool = True) -> DataFrame:
     """Rows on one side only (U1): ``side`` is MISSING (in ``a``, not in ``b``) or EXTRA.
 
     One aggregation over both inputs replaces the two set differences. As bags, ``copies``
-    says how many more copies that side holds; rows are not repeated.
+    says how many more copies that side holds; rows are not repeated. Hashes of the rows meet first, so that only rows with
+    a hash that is not on both sides alike are shuffled whole. A difference goes unseen only where a row that is lost and one that
+    came instead share their 64 bits.
     """
     cols = a.columns
-    both = a.withColumn("_in_a", F.lit(1)).unionByName(b.select(*cols).withColumn("_in_a", F.lit(0)))
+    b = b.select(*cols)
+    # a hash of both sides has to mean the same
+    if [f.dataType for f in a.schema.fields] == [f.dataType for f in b.schema.fields]:
+        sides = a.select(row_hash(a, cols).alias("_hash"), F.lit(1).alias("_n")).union(b.select(row_hash(b, cols).alias("_hash"), F.lit(-1).alias("_n")))
+        met = sides.groupBy("_hash").agg(F.count_if(F.col("_n") > 0).alias("_na"), F.count_if(F.col("_n") < 0).alias("_nb"))
+        odd = stage(met.where("_na = 0 OR _nb = 0" if distinct else "_na <> _nb").select("_hash"), "odd-rows")
+        a, b = (df.withColumn("_hash", row_hash(df, cols)).join(odd, "_hash", "left_semi").select(*cols) for df in (a, b))
+    both = a.withColumn("_in_a", F.lit(1)).unionByName(b.withColumn("_in_a", F.lit(0)))
     counted = both.groupBy(*cols).agg(
         F.count_if(F.col("_in_a") == 1).alias("_na"), F.count_if(F.col("_in_a") == 0).alias("_nb")
     )

@@ -188,3 +188,17 @@ def test_closure_follows_several_levels():
         [ForeignKey("b", ("id",), "a", ("id",)), ForeignKey("c", ("id",), "b", ("id",)), ForeignKey("a", ("id",), "a", ("id",))],
     )
     assert spec.referencing_closure(["a"]) == {"b", "c"} and spec.referencing_closure(["d"]) == set()
+
+
+def test_reconcile_sends_only_rows_with_odd_hashes(spark, monkeypatch):
+    """Rows in ever other places of NULL and of array borders are told apart; zeros of both signs and all NaN are not."""
+    kind = "i int, x array<int>, y array<int>, d double"
+    same = [(i, [i], None, 1.0) for i in range(50)] + [(1, [1], None, 1.0), (60, None, None, float("nan")), (61, [], [1], -0.0)]
+    a = spark.createDataFrame([*same, (70, [1, None], [2], 0.0), (71, [1], [2, 3], 0.0), (2, [2], None, 1.0)], kind)
+    b = spark.createDataFrame([*same[:-1], (61, [], [1], 0.0), (70, [None, 1], [2], 0.0), (71, [1, 2], [3], 0.0)], kind)
+    staged, stage = [], audit.stage
+    monkeypatch.setattr(audit, "stage", lambda *p, **o: staged.append(stage(*p, **o)) or staged[-1])
+    found = sorted((r.side, r.i, r.copies) for r in audit.reconcile(a, b, distinct=False).collect())
+    assert found == [("EXTRA", 70, 1), ("EXTRA", 71, 1), ("MISSING", 2, 1), ("MISSING", 70, 1), ("MISSING", 71, 1)]
+    assert sorted((r.side, r.i) for r in audit.reconcile(a, b).collect()) == [(s, i) for s in ("EXTRA", "MISSING") for i in (70, 71)]
+    assert [s.columns for s in staged] == [["_hash"]] * 2 and [s.count() for s in staged] == [5, 4]
