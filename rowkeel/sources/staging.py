@@ -36,7 +36,7 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 def stage(df: DataFrame, label: str = "cut", path: str | None = None) -> DataFrame:
     """Write ``df`` once and go on from the written table."""
     path = path or scratch_path(df.sparkSession, label)
-    df.write.mode("errorifexists").parquet(path)
+    df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
